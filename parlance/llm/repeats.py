@@ -374,6 +374,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     parts = shuffle_partitions(docs.sparkSession)
     docs = docs.select("oid", "h", "text")
     found = docs.mapInArrow(_find_anchors(parts), _FOUND).repartitionById(parts, F.col("part")).mapInArrow(_meet, _CANDIDATES)
+    found = materialise(found)
     pieces = _together(docs, found, parts).mapInArrow(_bring_bytes, _PIECES)
     return pieces.repartition(parts, "part").mapInArrow(_compare, "oid long, h long, at int, end int")
 
