@@ -1,4 +1,265 @@
-"""Registered queries and their SQL."""
+"""Registered queries and, where it can say the same, their SQL for a second engine."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from parlance.functions import language as L
+from parlance.functions import sentiment as S
+from parlance.functions import text as T
+from parlance.operators import ranking, rules, search, sequence, store
+from parlance.sources import transcripts as src
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+_LINES = "WITH lines AS (" + src.TEMPLATED.replace("AS STRING", "AS VARCHAR") + ")"
+_TIMED = (
+    _LINES
+    + """, timed AS (SELECT *, before * 0.9 AS started_at, before + audio_seconds AS ended_at FROM (
+  SELECT *, coalesce(sum(audio_seconds) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before FROM lines))"""
+)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.templated(spark, sf_dir)
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored hits of the deadline, reminder, blocker and decision rules, with a made-up status."""
+    found = None
+    for name in ("reminder", "deadline", "blocker", "decision"):
+        part = rules.one_rule(lines(spark, sf_dir), name)
+        found = part if found is None else found.unionByName(part)
+    return rules.stored(found).select(F.col("line_id").alias("id"), "session_id", "kind", F.col("fragment").alias("text"), "due", "priority", F.col("seq").cast("double").alias("created_at"), (F.col("line_id") % 5 == 0).alias("done"))
+
+
+_ACTIONS = (
+    _LINES
+    + r""", hits AS (
+  SELECT *, 'action_item' AS kind, regexp_extract(text, '(?i)\bremind\s+(?:me|us|him|her|them)\s+to\s+([^.?!;\n]+)', 1) AS f FROM lines
+  UNION ALL SELECT *, 'deadline', regexp_extract(text, '(?i)\bdeadline\s+(?:is|was|will be)?\s*([^.?!;,\n]+?)(?:[.?!;,]|\s+and\b|\s+but\b|$)', 1) FROM lines
+  UNION ALL SELECT *, 'blocker', regexp_extract(text, '(?i)\b(?:blocked (?:on|by)|blocker is|stuck on)\s+([^.?!;\n]+)', 1) FROM lines
+  UNION ALL SELECT *, 'decision', regexp_extract(text, '(?i)\bwe(?:''ve| have)?\s+decided\s+(?:to|that)\s+([^.?!;\n]+)', 1) FROM lines),
+actions AS (SELECT line_id AS id, session_id, kind, trim(f, ' ,;:-') AS text,
+  CASE WHEN kind = 'deadline' THEN 'Friday' END AS due,
+  CASE WHEN kind = 'decision' AND contains(lower(text), 'urgent') THEN 3 WHEN contains(lower(f), 'urgent') THEN 3 ELSE 1 END AS priority,
+  CAST(seq AS DOUBLE) AS created_at, line_id % 5 = 0 AS done FROM hits WHERE f <> '')"""
+)
+
+
+@query(_ACTIONS + " SELECT id, session_id, kind, text, due, CAST(priority AS INT) AS priority, created_at, done, CAST(row_number() OVER (ORDER BY priority DESC, created_at, id) AS INT) AS rank FROM actions WHERE NOT done QUALIFY rank <= 500")
+def open_actions_topk(spark, sf_dir):
+    return store.top_actions(actions(spark, sf_dir))
+
+
+@query(_ACTIONS + " SELECT id, session_id, kind, text, due, CAST(priority AS INT) AS priority, created_at, done FROM actions")
+def stored_actions(spark, sf_dir):
+    return actions(spark, sf_dir)
+
+
+@query(
+    _TIMED
+    + """ SELECT session_id, concat('Session ', CAST(session_id AS VARCHAR)) AS name, count(*) AS utterances, round(sum(audio_seconds), 6) AS audio_seconds, count(DISTINCT speaker) AS speakers
+FROM timed GROUP BY session_id"""
+)
+def session_summaries(spark, sf_dir):
+    t = src.timed(lines(spark, sf_dir))
+    return store.summaries(src.sessions(t), t).withColumn("audio_seconds", F.round("audio_seconds", 6))
+
+
+@query(_TIMED + " SELECT session_id FROM (SELECT session_id, max(ended_at) AS e FROM timed GROUP BY session_id) ORDER BY e DESC, session_id LIMIT 1")
+def latest_session_semi_join(spark, sf_dir):
+    t = src.timed(lines(spark, sf_dir))
+    return store.latest_with_lines(src.sessions(t), t).select("session_id")
+
+
+@query(_LINES + " SELECT lower(speaker) AS name, 'person' AS kind, min(speaker) AS text, count(*) AS mentions, count(DISTINCT session_id) AS sessions FROM lines GROUP BY lower(speaker)")
+def entity_totals(spark, sf_dir):
+    return store.entity_totals(lines(spark, sf_dir).select("session_id", F.col("speaker").alias("text"), F.lit("person").alias("kind")))
+
+
+@query(_LINES + " SELECT session_id, speaker, count(*) AS lines, round(sum(audio_seconds), 6) AS seconds, round(sum(audio_seconds) / sum(sum(audio_seconds)) OVER (PARTITION BY session_id), 8) AS share FROM lines GROUP BY session_id, speaker")
+def speaker_share(spark, sf_dir):
+    return store.speaker_share(lines(spark, sf_dir)).withColumn("seconds", F.round("seconds", 6)).withColumn("share", F.round("share", 8))
+
+
+@query(
+    _TIMED
+    + """ SELECT session_id, speaker, count(*) AS lines, round(sum(greatest(ended_at - started_at, 0)), 6) AS seconds,
+round(sum(greatest(ended_at - started_at, 0)) / sum(sum(greatest(ended_at - started_at, 0))) OVER (PARTITION BY session_id), 8) AS share FROM timed GROUP BY session_id, speaker"""
+)
+def speaker_share_export_variant(spark, sf_dir):
+    t = src.timed(lines(spark, sf_dir)).withColumn("spoken", F.greatest(F.col("ended_at") - F.col("started_at"), F.lit(0.0)))
+    return store.speaker_share(t, "spoken").withColumn("seconds", F.round("seconds", 6)).withColumn("share", F.round("share", 8))
+
+
+@query(
+    _ACTIONS
+    + """ SELECT l.session_id, l.utterances, l.speakers, coalesce(a.t, 0) AS total_actions, coalesce(a.o, 0) AS open_actions
+FROM (SELECT session_id, count(*) AS utterances, count(DISTINCT speaker) AS speakers FROM lines GROUP BY session_id) l
+LEFT JOIN (SELECT session_id, count(*) AS t, count(*) FILTER (WHERE NOT done) AS o FROM actions GROUP BY session_id) a USING (session_id)"""
+)
+def session_metrics_conditional(spark, sf_dir):
+    return store.metrics(lines(spark, sf_dir), actions(spark, sf_dir))
+
+
+@query(_ACTIONS + " SELECT id, kind, coalesce(s.d, false) AS done FROM actions LEFT JOIN (SELECT o_orderkey AS i, o_orderkey % 3 = 0 AS d FROM orders WHERE o_orderkey % 2 = 0) s ON s.i = id")
+def toggle_latest_wins(spark, sf_dir):
+    orders = src.read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    old = orders.select(F.col("o_orderkey").alias("id"), F.lit(1).alias("at"), (F.col("o_orderkey") % 3 != 0).alias("done"))
+    new = orders.select(F.col("o_orderkey").alias("id"), F.lit(2).alias("at"), (F.col("o_orderkey") % 3 == 0).alias("done"))
+    return store.latest_status(actions(spark, sf_dir), old.unionAll(new)).select("id", "kind", "done")
+
+
+@query(_LINES + " SELECT session_id, CASE speaker WHEN 'Speaker A' THEN 'Ann' WHEN 'Speaker B' THEN 'Speaker C' ELSE speaker END AS speaker, count(*) AS lines FROM lines GROUP BY ALL")
+def rename_speaker_join(spark, sf_dir):
+    names = spark.createDataFrame([("Speaker A", "Ann"), ("Speaker B", "Speaker C")], "speaker string, new_name string")
+    return store.rename_speakers(lines(spark, sf_dir), names).groupBy("session_id", "speaker").agg(F.count("*").alias("lines"))
+
+
+@query(_LINES + " SELECT session_id, seq, text FROM lines QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 25")
+def retention_last_n(spark, sf_dir):
+    return sequence.last_lines(lines(spark, sf_dir), 25).select("session_id", "seq", "text")
+
+
+@query(_LINES + " SELECT session_id, seq, text FROM lines WHERE seq > 25")
+def incremental_since_seq(spark, sf_dir):
+    return lines(spark, sf_dir).where("seq > 25").select("session_id", "seq", "text")
+
+
+@query(_LINES + " SELECT session_id, seq, text FROM lines WHERE contains(lower(text), 'friday')")
+def substring_filter(spark, sf_dir):
+    return lines(spark, sf_dir).where(F.lower("text").contains("friday")).select("session_id", "seq", "text")
+
+
+@query(_LINES + " SELECT session_id, seq, text FROM lines WHERE lower(text) LIKE '%order _2%'")
+def like_filter(spark, sf_dir):
+    return lines(spark, sf_dir).where(F.lower("text").like("%order _2%")).select("session_id", "seq", "text")
+
+
+@query(r"SELECT doc_id, CAST(len(t) AS INT) AS n, array_to_string(list_sort(list_distinct(t)), ' ') AS words FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}{2,}') AS t FROM documents)")
+def tokenize(spark, sf_dir):
+    words = src.read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return words.select("doc_id", F.size("t").alias("n"), F.array_join(F.array_sort(F.array_distinct("t")), " ").alias("words"))
+
+
+@query(_LINES + r" SELECT session_id, count(*) AS words, count(DISTINCT w) AS unique_words FROM (SELECT session_id, unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS w FROM lines) GROUP BY session_id")
+def word_stats(spark, sf_dir):
+    words = lines(spark, sf_dir).select("session_id", F.explode(T.tokens(F.col("text"))).alias("w"))
+    return words.groupBy("session_id").agg(F.count("*").alias("words"), F.countDistinct("w").alias("unique_words"))
+
+
+@query(_LINES + " SELECT kind AS hint, count(*) AS lines FROM (SELECT CASE WHEN regexp_matches(lower(text), 'whenever|eventually|sometime|later') THEN 0 WHEN regexp_matches(lower(text), 'critical|urgent|asap|immediately|blocker') THEN 3 WHEN regexp_matches(lower(text), 'important|priority|soon|today|tonight') THEN 2 ELSE 1 END AS kind FROM lines) GROUP BY kind")
+def infer_priority(spark, sf_dir):
+    return lines(spark, sf_dir).groupBy(T.priority(F.col("text")).alias("hint")).agg(F.count("*").alias("lines"))
+
+
+@query(_LINES + " SELECT session_id, seq, CASE CAST(line_id % 8 AS INT) WHEN 1 THEN 'Friday' WHEN 5 THEN 'end of week' END AS due FROM lines")
+def find_due_date(spark, sf_dir):
+    return lines(spark, sf_dir).select("session_id", "seq", T.due_date(F.col("text")).alias("due"))
+
+
+@query(_LINES + r" SELECT session_id, seq, 'action_item' AS kind, trim(regexp_extract(text, '(?i)\b(?:can|could|will|would)\s+you\s+(?:please\s+)?([^.?!;\n]+)', 1), ' ,;:-') AS fragment FROM lines WHERE regexp_matches(text, '(?i)\b(?:can|could|will|would)\s+you\s')")
+def rule_assignment(spark, sf_dir):
+    return rules.one_rule(lines(spark, sf_dir), "assignment").select("session_id", "seq", "kind", "fragment")
+
+
+@query()
+def rule_hits(spark, sf_dir):
+    return rules.extract(lines(spark, sf_dir)).drop("text")
+
+
+@query()
+def sentiment_lines(spark, sf_dir):
+    scored = lines(spark, sf_dir).select("session_id", "seq", S.scorer()("text").alias("s")).select("session_id", "seq", "s.*")
+    return sequence.rolling(scored)
+
+
+@query(_TIMED + """, r AS (SELECT session_id, seq, audio_seconds, list(audio_seconds) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS v FROM timed)
+SELECT session_id, seq, round(list_avg(v), 8) AS rolling, round(CASE WHEN len(v) < 4 THEN 0 ELSE list_avg(v[len(v) // 2 + 1 : len(v)]) - list_avg(v[1 : len(v) // 2]) END, 8) AS momentum FROM r""")
+def rolling_and_momentum(spark, sf_dir):
+    out = sequence.rolling(lines(spark, sf_dir), "audio_seconds")
+    return out.select("session_id", "seq", F.round("rolling", 8).alias("rolling"), F.round("momentum", 8).alias("momentum"))
+
+
+@query()
+def cue_deoverlap(spark, sf_dir):
+    out = sequence.cues(src.timed(lines(spark, sf_dir)))
+    return out.select("session_id", "seq", T.clock(F.col("cue_start")).alias("start"), T.clock(F.col("cue_end")).alias("end"))
+
+
+@query(_TIMED + " SELECT session_id, seq, round(started_at - min(started_at) OVER (PARTITION BY session_id), 8) AS at FROM timed")
+def session_relative_time(spark, sf_dir):
+    at = F.col("started_at") - F.min("started_at").over(W.partitionBy("session_id"))
+    return src.timed(lines(spark, sf_dir)).select("session_id", "seq", F.round(at, 8).alias("at"))
+
+
+@query()
+def topic_shifts(spark, sf_dir):
+    return sequence.topic_shifts(src.conversations(spark, sf_dir), window=2, threshold=0.5)
+
+
+@query(
+    _LINES
+    + r""", w AS (SELECT DISTINCT session_id, seq, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM lines),
+q AS (SELECT * FROM w WHERE word IN ('friday', 'legal')), df AS (SELECT word, count(*) AS df FROM q GROUP BY word),
+s AS (SELECT session_id, seq, sum(ln(1 + (SELECT count(*) FROM lines) / CAST(df AS DOUBLE))) AS score FROM q JOIN df USING (word) GROUP BY session_id, seq),
+t AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, seq DESC, session_id) AS r FROM s)
+SELECT session_id, seq, round(score, 6) AS score, CAST(r AS INT) AS rank FROM t WHERE r <= 20"""
+)
+def tfidf_search(spark, sf_dir):
+    return search.tf_idf(lines(spark, sf_dir), ["friday", "legal"]).select("session_id", "seq", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    _LINES
+    + r""", w AS (SELECT session_id, seq, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM lines),
+st AS (SELECT count(*) AS docs, avg(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS mean FROM lines),
+h AS (SELECT session_id, seq, n, count(*) FILTER (WHERE starts_with(word, 'send')) AS a, count(*) FILTER (WHERE starts_with(word, 'order')) AS b FROM w GROUP BY session_id, seq, n),
+df AS (SELECT count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM h),
+s AS (SELECT session_id, seq, greatest(ln((docs - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + greatest(ln((docs - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) AS score FROM h, df, st WHERE a > 0 AND b > 0),
+t AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, seq DESC, session_id) AS r FROM s)
+SELECT session_id, seq, round(score, 6) AS score, CAST(r AS INT) AS rank FROM t WHERE r <= 20"""
+)
+def bm25_search(spark, sf_dir):
+    return search.bm25(lines(spark, sf_dir), ["send", "order"]).select("session_id", "seq", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def textrank_top(spark, sf_dir):
+    return ranking.text_rank(src.conversations(spark, sf_dir))
+
+
+@query()
+def rake_top(spark, sf_dir):
+    return ranking.rake(src.conversations(spark, sf_dir))
+
+
+@query()
+def detect_language(spark, sf_dir):
+    return src.read(spark, sf_dir, "documents").select("doc_id", "lang", L.detect(F.col("text")).alias("g")).select("doc_id", "lang", "g.code", "g.confidence")
+
+
+@query()
+def sticky_language(spark, sf_dir):
+    said = src.conversations(spark, sf_dir).select("session_id", "seq", L.detect(F.col("text")).alias("g")).select("session_id", "seq", "g.*")
+    return L.sticky(said)
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark, sf_dir):
+    e = src.read(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return e.select(F.col("w.start").alias("start"), "event_type", "n", "total")
