@@ -23,7 +23,8 @@ from parlance.llm.common import table
 #: Labelled rows of each class that a model is fitted on, the ones with the smallest hash of their id.
 MAX_EXAMPLES = 3_000
 MAX_TERMS = 2_000
-MIN_EXAMPLES_OF_TERM = 4
+#: A term marks toxic examples if it is more frequent there and its log-likelihood ratio is at least this.
+MIN_EVIDENCE = 20.0
 OPENINGS = (4, 5)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -61,7 +62,7 @@ class Model:
     def __post_init__(self):
         self.number = {t: i for i, t in enumerate(self.idf)}
         self.weights = list(self.idf.values())
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.starts = {t[: OPENINGS[0]] for t in self.idf if t[-1] == "-"}
         self.bounds = []
         for at, w in self.postings:
             blocks, first = np.unique(at // BLOCK, return_index=True)
@@ -69,14 +70,13 @@ class Model:
 
     def vector(self, text: str | None) -> dict[int, float]:
         counts: Counter = Counter()
-        if len(self.memo) > 500_000:
-            self.memo.clear()
+        number = self.number
         for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            known = self.memo.get(word)
-            if known is None:
-                known = self.memo[word] = tuple(self.number[t] for t in openings(word) if t in self.number)
-            for t in known:
-                counts[t] += n
+            start = word[: OPENINGS[0]]
+            if start in self.starts or word in number:  # most words end here
+                for term in openings(word):
+                    if term in number:
+                        counts[number[term]] += n
         raw = {t: (1 + math.log(n)) * self.weights[t] for t, n in sorted(counts.items())}
         norm = math.sqrt(sum(v * v for v in raw.values()))
         return {t: v / norm for t, v in raw.items()}
@@ -144,10 +144,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     found = examples.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     n = {y: min(max_examples, totals.get(y, 0)) for y in (0, 1)}
     stands_for = {y: totals.get(y, 0) / max(n[y], 1) for y in (0, 1)}
-    rate = (F.col("toxic") + 0.5) / (n[1] + 1)
-    ratio = F.log(rate / ((F.col("clean") + 0.5) / (n[0] + 1)))
-    found = found.where((F.col("toxic") >= MIN_EXAMPLES_OF_TERM) & (ratio > 1.0))
-    kept = found.orderBy((ratio * F.col("toxic")).desc(), "term").limit(MAX_TERMS).collect()
+    share = n[1] / max(n[0] + n[1], 1)
+    t, c, both = F.col("toxic"), F.col("clean"), F.col("toxic") + F.col("clean")
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (both * F.lit(max(p, 1e-9))))).otherwise(0.0)
+    evidence = 2 * (part(t, share) + part(c, 1 - share))
+    found = found.where((t / both > F.lit(share)) & (evidence >= MIN_EVIDENCE))
+    kept = found.orderBy(evidence.desc(), "term").limit(MAX_TERMS).collect()
     size = n[0] + n[1] + 1
     idf = {r.term: math.log(size / (1 + r.clean + r.toxic)) + 1 for r in sorted(kept, key=lambda r: r.term)}
     probe = Model(idf, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [(np.zeros(0, np.int64), np.zeros(0))] * len(idf), 0.0)
