@@ -59,8 +59,7 @@ def tokens(text: Column, drop_stopwords: bool = False) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\W\d_][^\W\d_'\-]+"), F.lit(0))
     if not drop_stopwords:
         return found
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(found, lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(STOPWORDS))
 
 
 def sentences(text: Column) -> Column:
