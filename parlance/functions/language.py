@@ -59,11 +59,15 @@ def scores(text: Column) -> Column:
 
 def detect(text: Column, default: str = "en") -> Column:
     """struct<code,confidence>: the best score and its lead; the default with confidence 0 for short or unmarked texts."""
-    order = F.reverse(F.array_sort(scores(text)))
-    best, second = F.get(order, F.lit(0)), F.get(order, F.lit(1))
-    known = F.coalesce(best["score"], F.lit(0.0)) > 0
-    sure = F.least(F.lit(1.0), best["score"] + (best["score"] - second["score"]))
-    return F.struct(F.when(known, best["code"]).otherwise(default).alias("code"), F.when(known, sure).otherwise(0.0).alias("confidence"))
+
+    def pick(order: Column) -> Column:
+        best, second = F.get(order, F.lit(0)), F.get(order, F.lit(1))
+        known = F.coalesce(best["score"], F.lit(0.0)) > 0
+        sure = F.least(F.lit(1.0), best["score"] + (best["score"] - second["score"]))
+        return F.struct(F.when(known, best["code"]).otherwise(default).alias("code"), F.when(known, sure).otherwise(0.0).alias("confidence"))
+
+    # within a lambda the scores have a name, so they are worked out once
+    return F.get(F.transform(F.array(F.reverse(F.array_sort(scores(text)))), pick), F.lit(0))
 
 
 def sticky(lines: DataFrame, default: str = "en") -> DataFrame:
