@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import table
+from parlance.llm.common import materialise, table
 
 #: Labelled rows of each class that a model is fitted on, the ones with the smallest hash of their id.
 MAX_EXAMPLES = 3_000
@@ -28,6 +28,10 @@ MIN_EVIDENCE = 20.0
 OPENINGS = (4, 5)
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks that are scored before any is left out; four times as many in each step after.
+FIRST_BLOCKS = 4
+#: Searches a worker remembers, each NEIGHBOURS pairs of numbers.
+REMEMBERED = 20_000
 THRESHOLD = 0.7
 PRIOR_VOTES = 0.5
 
@@ -49,7 +53,11 @@ def openings(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """The index. Postings are ordered by example; a block holds BLOCK examples, with its largest weight for each term."""
+    """The index. Postings are ordered by example and cut into blocks of BLOCK examples.
+
+    best has the largest weight of each term in each block, row the row of cells where its postings of that block
+    stand (row 0: none). Rows are MAX_TERMS x (2 x MAX_EXAMPLES / BLOCK + 1) at most.
+    """
 
     idf: dict[str, float]
     ids: np.ndarray
@@ -63,10 +71,20 @@ class Model:
         self.number = {t: i for i, t in enumerate(self.idf)}
         self.weights = list(self.idf.values())
         self.starts = {t[: OPENINGS[0]] for t in self.idf if t[-1] == "-"}
-        self.bounds = []
-        for at, w in self.postings:
-            blocks, first = np.unique(at // BLOCK, return_index=True)
-            self.bounds.append((blocks, np.maximum.reduceat(w, first) if len(w) else w, np.append(first, len(at))))
+        n_blocks = len(self.ids) // BLOCK + 1
+        self.best = np.zeros((len(self.postings), n_blocks))
+        self.row = np.zeros((len(self.postings), n_blocks), np.int32)
+        cells, n = [np.zeros((1, BLOCK))], 1
+        for t, (at, w) in enumerate(self.postings):
+            blocks, which = np.unique(at // BLOCK, return_inverse=True)
+            held = np.zeros((len(blocks), BLOCK))
+            held[which, at % BLOCK] = w
+            self.best[t, blocks] = held.max(1) if len(at) else 0
+            self.row[t, blocks] = np.arange(n, n + len(blocks))
+            cells.append(held)
+            n += len(blocks)
+        self.cells = np.concatenate(cells)
+        self.known: dict[tuple, list[tuple[float, int]]] = {}
 
     def vector(self, text: str | None) -> dict[int, float]:
         counts: Counter = Counter()
@@ -84,33 +102,31 @@ class Model:
     def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k nearest examples as (cosine, number), nearest first, ties by number. Exact: a block is left
         out only if the sum of its largest weights is below the k-th best cosine so far."""
-        n_blocks = len(self.ids) // BLOCK + 1
-        upper = np.zeros(n_blocks)
-        for t, q in vector.items():
-            blocks, best, _ = self.bounds[t]
-            upper[blocks] += q * best
-        top: list[tuple[float, int]] = []
-        order = np.argsort(-upper, kind="stable")
-        for b in order[: int(np.count_nonzero(upper))].tolist():
-            if len(top) == k and upper[b] < top[-1][0] - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for t, q in vector.items():
-                blocks, _, first = self.bounds[t]
-                i = int(np.searchsorted(blocks, b))
-                if i < len(blocks) and blocks[i] == b:
-                    at, w = self.postings[t]
-                    span = slice(int(first[i]), int(first[i + 1]))
-                    score[at[span] - b * BLOCK] += q * w[span]
-            hit = np.flatnonzero(score)
-            top = sorted([*top, *zip(score[hit].round(12).tolist(), (hit + b * BLOCK).tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
-        return top
+        ts, q = np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), float, len(vector))
+        upper = q @ self.best[ts]
+        left = np.argsort(-upper, kind="stable")[: int(np.count_nonzero(upper))]
+        cosine, at, taken = np.zeros(0), np.zeros(0, np.int64), FIRST_BLOCKS
+        while len(left):
+            blocks, left, taken = left[:taken], left[taken:], taken * 4
+            score = np.einsum("t,tbc->bc", q, self.cells[self.row[np.ix_(ts, blocks)]]).round(12)
+            b, c = np.nonzero(score)
+            cosine, at = np.append(cosine, score[b, c]), np.append(at, blocks[b] * BLOCK + c)
+            order = np.lexsort((at, -cosine))[:k]
+            cosine, at = cosine[order], at[order]
+            if len(at) == k:
+                left = left[upper[left] >= cosine[-1] - 1e-9]
+        return list(zip(cosine.tolist(), at.tolist(), strict=True))
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """Score from 0 to 1, and the ids of the three nearest examples. Without any known term: the rate of
         toxic rows among labelled rows without one."""
         vector = self.vector(text)
-        top = self.nearest(vector) if vector else []
+        key = tuple(vector.items())
+        if key not in self.known:  # short vectors come again and again
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[key] = self.nearest(vector) if vector else []
+        top = self.known[key]
         if not top:
             return self.base_rate, []
         at = np.array([i for _, i in top])
@@ -120,7 +136,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic) -> Model. Rows without id, label or text are left out; an id
-    labelled twice counts as toxic if one label says so. Without labels every score is 0."""
+    labelled twice counts as toxic if one label says so, of several texts of an id the one with the smallest hash
+    counts. Without labels every score is 0."""
     spark = docs.sparkSession
     rows = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
@@ -131,6 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
         chosen = part if chosen is None else chosen.unionAll(part)
     chosen = spark.createDataFrame(chosen.collect(), rows.schema)  # 2 * max_examples pairs of numbers at most
     examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")
+    examples = materialise(examples.groupBy("doc_id", "toxic").agg(one).select("doc_id", "toxic", "x.text"))
 
     def count(batches):
         tally: dict[str, list[int]] = {}
@@ -140,7 +159,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
                     tally.setdefault(t, [0, 0])[y] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.int64())], ["term", "clean", "toxic"])
 
-    # an id's text counts once for each of its rows in docs
     found = examples.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     n = {y: min(max_examples, totals.get(y, 0)) for y in (0, 1)}
     stands_for = {y: totals.get(y, 0) / max(n[y], 1) for y in (0, 1)}
@@ -160,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
             out = [shared.value.vector(x.as_py()) for x in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array([list(v) for v in out], pa.list_(pa.int32())), pa.array([list(v.values()) for v in out], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
 
-    indexed = sorted((tuple(r) for r in examples.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").toLocalIterator()), key=lambda r: r[0])
+    indexed = sorted((tuple(r) for r in examples.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").collect()), key=lambda r: r[0])
     blank = Counter(y for _, y, v, _ in indexed if not v)
     mass = {y: blank[y] * stands_for[y] for y in (0, 1)}
     base_rate = mass[1] / max(mass[0] + mass[1], 1.0)
