@@ -28,6 +28,8 @@ FANOUT = 8
 GROUP_LIMIT = 50_000
 #: Pairs of nodes that are expanded at once.
 FRONTIER = 100_000
+#: Farthest neighbour in Gray order that is tried before the walk (1, 2, 4, ... up to it).
+NEIGHBOURS = 64
 #: Fingerprints that an average group should hold at most; decides into how many blocks the bits are cut.
 GROUP_AIM = 256
 
@@ -119,6 +121,7 @@ class Forest:
 
     def __init__(self, codes: np.ndarray, groups: np.ndarray):
         self.n = len(codes)
+        self.group = groups
         self.pattern, self.mask = [codes], [np.full(len(codes), _ALL, np.uint64)]
         self.first: list[np.ndarray] = [np.arange(len(codes) + 1)]  # leaves below node i: first[i] to first[i + 1]
         self.child: list[np.ndarray] = []  # children of node i one level down, likewise
@@ -138,8 +141,16 @@ class Forest:
             group = group[start]
 
     def links(self, bits: int) -> np.ndarray:
-        """Label of each leaf: equal for leaves that a chain of links within their group joins."""
+        """Label of each leaf: equal for leaves that a chain of links within their group joins.
+
+        Leaves close in Gray rank are tried first: what they link, the walk need not open again.
+        """
         label = np.arange(self.n)
+        codes = self.pattern[0]
+        for step in (1 << k for k in range(NEIGHBOURS.bit_length())):
+            near = (np.bitwise_count(codes[:-step] ^ codes[step:]) <= bits) & (self.group[:-step] == self.group[step:])
+            a = np.flatnonzero(near)
+            label = unite(label, a, a + step)
         top = len(self.child)
         roots = np.arange(len(self.pattern[top]))
         stack = [(top, roots, roots)]
