@@ -35,13 +35,14 @@ def rolling(lines: DataFrame, value: str = "compound", window: int = WINDOW) ->
     return out
 
 
-def cues(lines: DataFrame, least: float = MIN_CUE) -> DataFrame:
-    """lines (started_at, ended_at) with cue_start, cue_end from the session's begin, without overlap: a cue starts
+def cues(lines: DataFrame, least: float = MIN_CUE, origin: Column | None = None) -> DataFrame:
+    """lines (started_at, ended_at) with cue_start, cue_end from origin (the session's first start), without overlap: a cue starts
     when the one before has ended and keeps its length. In closed form, with the running sum D of lengths:
     end = D + max over lines so far of (start - D before)."""
     whole = W.partitionBy("session_id")
-    s = F.greatest(F.lit(0.0), F.col("started_at") - F.min("started_at").over(whole))
-    length = F.greatest(F.col("ended_at") - F.min("started_at").over(whole) - s, F.lit(least))
+    base = F.min("started_at").over(whole) if origin is None else origin
+    s = F.greatest(F.lit(0.0), F.col("started_at") - base)
+    length = F.greatest(F.col("ended_at") - base - s, F.lit(least))
     upto = by_session().rowsBetween(W.unboundedPreceding, 0)
     rows = lines.withColumn("s", s).withColumn("length", length)
     rows = rows.withColumn("d", F.sum("length").over(upto))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from parlance.functions import language as L
 from parlance.functions import sentiment as S
 from parlance.functions import text as T
-from parlance.operators import ranking, rules, search, sequence, store
+from parlance.operators import entities, exports, insights, ranking, redaction, rules, search, sequence, store
 from parlance.sources import transcripts as src
 
 QUERIES: dict = {}
@@ -263,3 +263,45 @@ def sticky_language(spark, sf_dir):
 def events_tumbling(spark, sf_dir):
     e = src.read(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return e.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query()
+def entity_lines(spark, sf_dir):
+    return entities.extract(lines(spark, sf_dir).select("session_id", "seq", "text"))
+
+
+@query(
+    _LINES
+    + r""", mails AS (SELECT session_id, seq, text, regexp_extract(text, '[a-z0-9]+@northwind\.com') AS mail FROM lines),
+firsts AS (SELECT session_id, mail, row_number() OVER (PARTITION BY session_id ORDER BY min(seq)) AS n FROM mails WHERE mail <> '' GROUP BY session_id, mail)
+SELECT session_id, seq, CASE WHEN n IS NULL THEN text ELSE replace(text, mail, concat('[EMAIL_', CAST(n AS VARCHAR), ']')) END AS text, CASE WHEN n IS NULL THEN 0 ELSE 1 END AS n_redacted
+FROM mails LEFT JOIN firsts USING (session_id, mail)"""
+)
+def redact_emails(spark, sf_dir):
+    return redaction.redact(lines(spark, sf_dir).select("session_id", "seq", "text"), kinds=("email",))
+
+
+@query()
+def redact_lines(spark, sf_dir):
+    return redaction.redact(lines(spark, sf_dir).select("session_id", "seq", "text"))
+
+
+@query()
+def export_srt(spark, sf_dir):
+    return exports.blocks(src.timed(lines(spark, sf_dir)), "srt")
+
+
+def _reported(spark, sf_dir):
+    t = src.timed(lines(spark, sf_dir))
+    s = src.sessions(t).select("session_id", F.col("name").alias("session_name"), F.col("started_at").alias("session_started"))
+    return actions(spark, sf_dir).join(s, "session_id", "left")
+
+
+@query()
+def open_commitments(spark, sf_dir):
+    return insights.open_items(_reported(spark, sf_dir), as_of=10 * 86_400.0)
+
+
+@query()
+def recurring_commitments(spark, sf_dir):
+    return insights.recurring_items(_reported(spark, sf_dir))
