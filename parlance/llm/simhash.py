@@ -250,6 +250,16 @@ def near_edges(fps: DataFrame, bits: int = BITS, limit: int = GROUP_LIMIT) -> Da
     return keyed.mapInArrow(join, "view int, a long, b long")
 
 
+def thin(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b) that join the same: each a keeps its smallest b, and its other b are tied to that one.
+
+    Nodes of one dense group mostly share their b, so that those ties are few once they are distinct. An a has
+    at most one b for each view and mask (near_edges) and one for each view, so its array is bounded.
+    """
+    near = edges.groupBy("a").agg(F.collect_set("b").alias("to")).withColumn("least", F.array_min("to"))
+    return near.select(F.explode(F.array_union(F.array("a"), "to")).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fingerprint, component_id.
 
@@ -286,7 +296,8 @@ def keep_one(docs: DataFrame, shingle: int, bits: int, n_views: int) -> DataFram
     near = near_edges(reps.select("view", "fp"), bits)
     near = near.join(reps.select("view", F.col("fp").alias("a"), F.col("rep").alias("na")), ["view", "a"])
     near = near.join(reps.select("view", F.col("fp").alias("b"), F.col("rep").alias("nb")), ["view", "b"])
-    roots = components(shared.unionAll(near.select(F.col("na").alias("a"), F.col("nb").alias("b")))).withColumnRenamed("node", "of")
+    links = thin(shared.unionAll(near.select(F.col("na").alias("a"), F.col("nb").alias("b"))))
+    roots = components(links).withColumnRenamed("node", "of")
     rooted = prints.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")).alias("x")
     chosen = materialise(rooted.groupBy("root").agg(first).select(F.col("x.id").alias("_id"), F.col("x.th").alias("_th")).distinct())
