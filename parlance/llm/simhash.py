@@ -280,14 +280,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
 def keep_one(docs: DataFrame, shingle: int, bits: int, n_views: int) -> DataFrame:
     """One row of each group of near duplicates, with all columns of docs.
 
-    Texts are linked that differ in at most `bits` bits in one of n_views independent fingerprints. The row with
-    the smallest doc_id stays (one without id only if its group has none); of rows that share it the one with
-    the smallest hash of the text and then of the other columns.
+    Texts are linked that differ in at most `bits` bits in one of n_views independent fingerprints. Which row
+    stays: see first_rows.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
     names = [f"fp{i}" for i in range(n_views)]
-    mark = F.xxhash64("text")
-    prints = fingerprints(docs.select("doc_id", mark.alias("th"), "text"), shingle, n_views)
+    prints = fingerprints(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), shingle, n_views)
     prints = materialise(prints.withColumn("node", F.xxhash64(*names)))
     per_view = F.explode(F.array(*[F.struct(F.lit(i).alias("view"), F.col(c).alias("fp")) for i, c in enumerate(names)])).alias("x")
     seen = materialise(prints.select("node", *names).distinct().select("node", per_view).select("node", "x.view", "x.fp"))
@@ -296,8 +293,16 @@ def keep_one(docs: DataFrame, shingle: int, bits: int, n_views: int) -> DataFram
     near = near_edges(reps.select("view", "fp"), bits)
     near = near.join(reps.select("view", F.col("fp").alias("a"), F.col("rep").alias("na")), ["view", "a"])
     near = near.join(reps.select("view", F.col("fp").alias("b"), F.col("rep").alias("nb")), ["view", "b"])
-    links = thin(shared.unionAll(near.select(F.col("na").alias("a"), F.col("nb").alias("b"))))
-    roots = components(links).withColumnRenamed("node", "of")
+    return first_rows(docs, prints, shared.unionAll(near.select(F.col("na").alias("a"), F.col("nb").alias("b"))))
+
+
+def first_rows(docs: DataFrame, prints: DataFrame, links: DataFrame) -> DataFrame:
+    """The first row of each group of docs. prints (doc_id, th, node) has a row for each row of docs, th the hash of
+    its text; links (a, b) join nodes. The row with the smallest doc_id stays (one without id only if its group has
+    none); of rows that share it the one with the smallest hash of the text and then of the other columns."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    mark = F.xxhash64("text")
+    roots = components(thin(links)).withColumnRenamed("node", "of")
     rooted = prints.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")).alias("x")
     chosen = materialise(rooted.groupBy("root").agg(first).select(F.col("x.id").alias("_id"), F.col("x.th").alias("_th")).distinct())
