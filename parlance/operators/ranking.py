@@ -61,20 +61,24 @@ def text_rank(lines: DataFrame, k: int = 5) -> DataFrame:
 
 
 _SPLIT = re.compile(r"[^^\w'\-]+|[\d_]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _FILLER = {"um", "uh", "erm", "hmm", "mm", "ah", "eh", "like", "yeah", "okay"}
 
 
 def phrases(text: str | None) -> list[list[str]]:
-    """Runs of at most four words of three letters or more between stop words, fillers and digits."""
+    """Runs of words of three letters or more between sentence ends, stop words, fillers and digits; a run is cut
+    after each four words."""
     out, run = [], []
     stop = set(T.STOPWORDS) | _FILLER
-    for piece in [*_SPLIT.split((text or "").lower()), ""]:
-        if len(piece) < 3 or piece in stop:
-            if 0 < len(run) <= 4:
+    for sentence in _SENTENCE.split(text or ""):
+        for piece in [*_SPLIT.split(sentence.strip()), ""]:
+            piece = piece.lower()
+            held = len(piece) >= 3 and piece not in stop
+            if held:
+                run.append(piece)
+            if run and (not held or len(run) == 4):
                 out.append(run)
-            run = []
-        else:
-            run.append(piece)
+                run = []
     return out
 
 
