@@ -1,7 +1,8 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their openings (inflected forms share them). The terms that mark toxic examples
-are selected from the labelled rows; cosines are exact over these terms. Votes of the nearest
+Terms are all words of the labelled examples and their openings (inflected forms share them). Those that do not mark
+toxic examples weigh PLAIN of their idf, so that they decide where no marking term does. Cosines are exact over all
+terms. Votes of the nearest
 examples, weighted by similarity and by how many labelled rows each example stands for, give the score.
 """
 
@@ -15,6 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,15 @@ MIN_EVIDENCE = 20.0
 OPENINGS = (4, 5)
 NEIGHBOURS = 15
 BLOCK = 64
+#: Share of its idf that a term has as weight if it does not mark toxic examples.
+PLAIN = 0.05
+#: Terms that are in over one in OFTEN of the examples, the most frequent ones, are held by blocks; at most so many.
+OFTEN, BLOCKED = 8, 512
 #: Blocks that are scored before any is left out; four times as many in each step after.
 FIRST_BLOCKS = 4
-#: Searches a worker remembers, each NEIGHBOURS pairs of numbers.
+#: Texts whose result a worker remembers, and words whose terms.
 REMEMBERED = 20_000
+WORDS = 200_000
 THRESHOLD = 0.7
 PRIOR_VOTES = 0.5
 
@@ -53,10 +60,10 @@ def openings(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """The index. Postings are ordered by example and cut into blocks of BLOCK examples.
+    """The index. Postings are ordered by example; those of frequent terms are cut into blocks of BLOCK examples.
 
-    best has the largest weight of each term in each block, row the row of cells where its postings of that block
-    stand (row 0: none). Rows are MAX_TERMS x (2 x MAX_EXAMPLES / BLOCK + 1) at most.
+    place has the number of each frequent term among them (-1: not frequent), best the largest weight of each in each
+    block, cells all its weights. The postings of all others stand in at and w from begin[t] to begin[t + 1].
     """
 
     idf: dict[str, float]
@@ -70,45 +77,61 @@ class Model:
     def __post_init__(self):
         self.number = {t: i for i, t in enumerate(self.idf)}
         self.weights = list(self.idf.values())
-        self.starts = {t[: OPENINGS[0]] for t in self.idf if t[-1] == "-"}
-        n_blocks = len(self.ids) // BLOCK + 1
-        self.best = np.zeros((len(self.postings), n_blocks))
-        self.row = np.zeros((len(self.postings), n_blocks), np.int32)
-        cells, n = [np.zeros((1, BLOCK))], 1
-        for t, (at, w) in enumerate(self.postings):
-            blocks, which = np.unique(at // BLOCK, return_inverse=True)
-            held = np.zeros((len(blocks), BLOCK))
-            held[which, at % BLOCK] = w
-            self.best[t, blocks] = held.max(1) if len(at) else 0
-            self.row[t, blocks] = np.arange(n, n + len(blocks))
-            cells.append(held)
-            n += len(blocks)
-        self.cells = np.concatenate(cells)
-        self.known: dict[tuple, list[tuple[float, int]]] = {}
+        n, n_blocks = len(self.ids), len(self.ids) // BLOCK + 1
+        held = np.array([len(at) for at, _ in self.postings], np.int64)
+        frequent = [t for t in np.argsort(-held, kind="stable")[:BLOCKED].tolist() if held[t] * OFTEN > n]
+        self.place = np.full(len(held), -1, np.int32)
+        self.place[frequent] = np.arange(len(frequent))
+        self.cells = np.zeros((len(frequent), n_blocks * BLOCK))
+        for i, t in enumerate(frequent):
+            self.cells[i, self.postings[t][0]] = self.postings[t][1]
+        self.cells = self.cells.reshape(len(frequent), n_blocks, BLOCK)
+        self.best = self.cells.max(2)
+        self.begin = np.concatenate([[0], np.cumsum(np.where(self.place < 0, held, 0))]).tolist()
+        others = [p for p, i in zip(self.postings, self.place.tolist(), strict=True) if i < 0]
+        self.at = np.concatenate([np.zeros(0, np.int32), *[a for a, _ in others]]).astype(np.int32)
+        self.w = np.concatenate([np.zeros(0), *[w for _, w in others]])
+        self.postings = []
+        self.known: dict[bytes, tuple[float, list[int]]] = {}
+        self.of_word: dict[str, list[int]] = {}
 
     def vector(self, text: str | None) -> dict[int, float]:
-        counts: Counter = Counter()
-        number = self.number
+        counts: dict[int, int] = {}
+        if len(self.of_word) > WORDS:
+            self.of_word.clear()
         for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            start = word[: OPENINGS[0]]
-            if start in self.starts or word in number:  # most words end here
-                for term in openings(word):
-                    if term in number:
-                        counts[number[term]] += n
+            found = self.of_word.get(word)
+            if found is None:
+                found = self.of_word[word] = [self.number[t] for t in openings(word) if t in self.number]
+            for t in found:
+                counts[t] = counts.get(t, 0) + n
         raw = {t: (1 + math.log(n)) * self.weights[t] for t, n in sorted(counts.items())}
         norm = math.sqrt(sum(v * v for v in raw.values()))
         return {t: v / norm for t, v in raw.items()}
 
     def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k nearest examples as (cosine, number), nearest first, ties by number. Exact: a block is left
-        out only if the sum of its largest weights is below the k-th best cosine so far."""
+        """The k nearest examples as (cosine, number), nearest first, ties by number. Exact: the rarer terms are added
+        up in full, and a block is left out only if its largest such sum and the sum of its largest weights of
+        the frequent terms are together below the k-th best cosine so far."""
         ts, q = np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), float, len(vector))
-        upper = q @ self.best[ts]
+        n_blocks = len(self.ids) // BLOCK + 1
+        place = self.place[ts]
+        rare = place < 0
+        spans = [(self.begin[t], self.begin[t + 1]) for t in ts[rare].tolist()]
+        part = np.zeros(n_blocks * BLOCK)
+        if spans:
+            at = np.concatenate([self.at[a:b] for a, b in spans])
+            w = np.concatenate([self.w[a:b] for a, b in spans]) * np.repeat(q[rare], [b - a for a, b in spans])
+            part = np.bincount(at, w, n_blocks * BLOCK)
+        part = part.reshape(n_blocks, BLOCK)
+        place, q = place[~rare], q[~rare]
+        upper = part.max(1) + q @ self.best[place]
         left = np.argsort(-upper, kind="stable")[: int(np.count_nonzero(upper))]
         cosine, at, taken = np.zeros(0), np.zeros(0, np.int64), FIRST_BLOCKS
         while len(left):
             blocks, left, taken = left[:taken], left[taken:], taken * 4
-            score = np.einsum("t,tbc->bc", q, self.cells[self.row[np.ix_(ts, blocks)]]).round(12)
+            held = self.cells[place[:, None], blocks].reshape(len(place), len(blocks) * BLOCK)
+            score = (part[blocks] + (q @ held).reshape(len(blocks), BLOCK)).round(12)
             b, c = np.nonzero(score)
             cosine, at = np.append(cosine, score[b, c]), np.append(at, blocks[b] * BLOCK + c)
             order = np.lexsort((at, -cosine))[:k]
@@ -119,14 +142,16 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """Score from 0 to 1, and the ids of the three nearest examples. Without any known term: the rate of
-        toxic rows among labelled rows without one."""
-        vector = self.vector(text)
-        key = tuple(vector.items())
-        if key not in self.known:  # short vectors come again and again
+        toxic rows among labelled rows."""
+        key = xxhash.xxh3_128_digest((text or "").encode())
+        if key not in self.known:  # copies come again and again
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[key] = self.nearest(vector) if vector else []
-        top = self.known[key]
+            self.known[key] = self._score(self.vector(text))
+        return self.known[key]
+
+    def _score(self, vector: dict[int, float]) -> tuple[float, list[int]]:
+        top = self.nearest(vector) if vector else []
         if not top:
             return self.base_rate, []
         at = np.array([i for _, i in top])
@@ -166,31 +191,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     t, c, both = F.col("toxic"), F.col("clean"), F.col("toxic") + F.col("clean")
     part = lambda k, p: F.when(k > 0, k * F.log(k / (both * F.lit(max(p, 1e-9))))).otherwise(0.0)
     evidence = 2 * (part(t, share) + part(c, 1 - share))
-    found = found.where((t / both > F.lit(share)) & (evidence >= MIN_EVIDENCE))
-    kept = found.orderBy(evidence.desc(), "term").limit(MAX_TERMS).collect()
+    found = found.withColumn("evidence", F.when(t / both > F.lit(share), evidence).otherwise(0.0))
+    # the terms of 2 * max_examples texts, whatever the input
+    found = found.select("term", both.alias("n"), "evidence").toArrow().to_pandas().sort_values("term")
+    marking = found[found["evidence"] >= MIN_EVIDENCE].sort_values(["evidence", "term"], ascending=[False, True])
+    marking = set(marking["term"][:MAX_TERMS])
     size = n[0] + n[1] + 1
-    idf = {r.term: math.log(size / (1 + r.clean + r.toxic)) + 1 for r in sorted(kept, key=lambda r: r.term)}
-    probe = Model(idf, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [(np.zeros(0, np.int64), np.zeros(0))] * len(idf), 0.0)
-    shared = spark.sparkContext.broadcast(probe)
+    idf = {t: (math.log(size / (1 + k)) + 1) * (1.0 if t in marking else PLAIN) for t, k in zip(found["term"], found["n"].tolist(), strict=True)}
+    none = (np.zeros(0, np.int64), np.zeros(0))
+    shared = spark.sparkContext.broadcast(Model(idf, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [none] * len(idf), 0.0))
 
     def vectors(batches):
         for batch in batches:
             out = [shared.value.vector(x.as_py()) for x in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array([list(v) for v in out], pa.list_(pa.int32())), pa.array([list(v.values()) for v in out], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
 
-    indexed = sorted((tuple(r) for r in examples.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").collect()), key=lambda r: r[0])
-    blank = Counter(y for _, y, v, _ in indexed if not v)
-    mass = {y: blank[y] * stands_for[y] for y in (0, 1)}
-    base_rate = mass[1] / max(mass[0] + mass[1], 1.0)
-    indexed = [r for r in indexed if r[2]]
-    lists: list[tuple[list[int], list[float]]] = [([], []) for _ in idf]
-    for i, (_, _, ts, ws) in enumerate(indexed):
-        for t, w in zip(ts, ws, strict=True):
-            lists[t][0].append(i)
-            lists[t][1].append(w)
-    postings = [(np.array(a, np.int64), np.array(w)) for a, w in lists]
-    y = np.array([r[1] for r in indexed], float)
-    return Model(idf, np.array([r[0] for r in indexed], np.int64), y, np.where(y > 0, stands_for[1], stands_for[0]), postings, base_rate)
+    indexed = examples.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").toArrow().to_pandas()
+    indexed = indexed[indexed["terms"].map(len) > 0].sort_values("doc_id")
+    shared.unpersist()
+    at = np.repeat(np.arange(len(indexed)), indexed["terms"].map(len).to_numpy(np.int64))
+    term, w = (np.concatenate([np.zeros(0), *indexed[c]]) for c in ("terms", "weights"))
+    order = np.argsort(term, kind="stable")
+    cuts = np.searchsorted(term[order], np.arange(1, len(idf)))
+    postings = list(zip(np.split(at[order], cuts), np.split(w[order], cuts), strict=True)) if idf else []
+    y = indexed["toxic"].to_numpy(float)
+    base_rate = totals.get(1, 0) / max(sum(totals.values()), 1)
+    return Model(idf, indexed["doc_id"].to_numpy(np.int64), y, np.where(y > 0, stands_for[1], stands_for[0]), postings, base_rate)
 
 
 def training_part(doc_id: Column) -> Column:
