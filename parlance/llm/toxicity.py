@@ -1,9 +1,10 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are all words of the labelled examples and their openings (inflected forms share them). Those that do not mark
-toxic examples weigh PLAIN of their idf, so that they decide where no marking term does. Cosines are exact over all
-terms. Votes of the nearest
-examples, weighted by similarity and by how many labelled rows each example stands for, give the score.
+Terms are all words of the labelled examples and their openings (inflected forms share them); none is left out. A
+term's weight is its idf times how much its presence tells about the labels, a smooth function of the log-likelihood
+ratio of the two. Votes of the nearest examples, weighted by similarity and by how many labelled rows each example
+stands for, give a raw score, which a logistic curve turns into a probability; the curve is fitted on the examples,
+each scored by the others.
 """
 
 from __future__ import annotations
@@ -23,19 +24,16 @@ from pyspark.sql import functions as F
 from parlance.llm.common import materialise, table
 
 #: Labelled rows of each class that a model is fitted on, the ones with the smallest hash of their id.
-MAX_EXAMPLES = 3_000
-MAX_TERMS = 2_000
-#: A term marks toxic examples if it is more frequent there and its log-likelihood ratio is at least this.
-MIN_EVIDENCE = 20.0
-OPENINGS = (4, 5)
+MAX_EXAMPLES = 1_500
+OPENINGS = (4, 6)
 NEIGHBOURS = 15
 BLOCK = 64
-#: Share of its idf that a term has as weight if it does not mark toxic examples.
-PLAIN = 0.05
-#: Terms that are in over one in OFTEN of the examples, the most frequent ones, are held by blocks; at most so many.
-OFTEN, BLOCKED = 8, 512
-#: Blocks that are scored before any is left out; four times as many in each step after.
-FIRST_BLOCKS = 4
+#: A term with a log-likelihood ratio of this much has half of its idf as weight.
+HALF_EVIDENCE = 10.0
+#: Terms in over one in OFTEN of the examples, the most frequent ones, are held by blocks; at most so many.
+OFTEN, BLOCKED = 16, 1_024
+#: Blocks that set a text's first bound, and texts that are scored together.
+FIRST_BLOCKS, TOGETHER = 4, 32
 #: Texts whose result a worker remembers, and words whose terms.
 REMEMBERED = 20_000
 WORDS = 200_000
@@ -43,10 +41,16 @@ THRESHOLD = 0.7
 PRIOR_VOTES = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
+_NO_TERMS = np.zeros(0, np.int64)
+
+
+def openings(word: str) -> list[str]:
+    """The word, and its openings of 4 and 6 letters marked by a hyphen."""
+    return [word, *(word[:k] + "-" for k in OPENINGS if len(word) >= k)]
 
 
 def terms(text: str | None) -> Counter:
-    """Words in lower case, and their openings of 4 and 5 letters marked by a hyphen."""
+    """Counts of the words in lower case and of their openings."""
     found: Counter = Counter()
     for word, n in Counter(_WORD.findall((text or "").lower())).items():
         for term in openings(word):
@@ -54,109 +58,161 @@ def terms(text: str | None) -> Counter:
     return found
 
 
-def openings(word: str) -> list[str]:
-    return [word, *(word[:k] + "-" for k in OPENINGS if len(word) >= k)]
+def evidence(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """Log-likelihood ratio of a term's presence and the label, from the numbers of examples that have the term."""
+    cells, total = 0.0, n_clean + n_toxic
+    for k, row, col in (
+        (toxic, toxic + clean, n_toxic), (clean, toxic + clean, n_clean),
+        (n_toxic - toxic, total - toxic - clean, n_toxic), (n_clean - clean, total - toxic - clean, n_clean),
+    ):
+        expected = row * (col / max(total, 1))
+        cells = cells + np.where(k > 0, k * np.log(np.maximum(k, 1) / np.where(expected > 0, expected, 1.0)), 0.0)
+    return np.maximum(2 * cells, 0.0)
+
+
+def term_weights(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    idf = np.log((n_clean + n_toxic + 1) / (1 + clean + toxic)) + 1
+    told = evidence(clean, toxic, n_clean, n_toxic)
+    return idf * (told + 0.01) / (told + HALF_EVIDENCE)
 
 
 @dataclass
 class Model:
-    """The index. Postings are ordered by example; those of frequent terms are cut into blocks of BLOCK examples.
-
-    place has the number of each frequent term among them (-1: not frequent), best the largest weight of each in each
-    block, cells all its weights. The postings of all others stand in at and w from begin[t] to begin[t + 1].
-    """
+    """The index. begin[t] to begin[t + 1] are term t's postings (at: example, w: weight), by example. Terms with a
+    place >= 0 are also held by blocks of BLOCK examples: cells[block, example, place], and best, their largest weight
+    in each block. slope and shift are the calibration."""
 
-    idf: dict[str, float]
+    number: dict[str, int]
+    weights: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     votes: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    begin: np.ndarray
+    at: np.ndarray
+    w: np.ndarray
     base_rate: float
-    number: dict[str, int] = field(init=False)
+    slope: float = 1.0
+    shift: float = 0.0
+    n_blocks: int = field(init=False)
 
     def __post_init__(self):
-        self.number = {t: i for i, t in enumerate(self.idf)}
-        self.weights = list(self.idf.values())
-        n, n_blocks = len(self.ids), len(self.ids) // BLOCK + 1
-        held = np.array([len(at) for at, _ in self.postings], np.int64)
+        n = len(self.ids)
+        self.n_blocks = n // BLOCK + 1
+        held = np.diff(self.begin)
         frequent = [t for t in np.argsort(-held, kind="stable")[:BLOCKED].tolist() if held[t] * OFTEN > n]
         self.place = np.full(len(held), -1, np.int32)
         self.place[frequent] = np.arange(len(frequent))
-        self.cells = np.zeros((len(frequent), n_blocks * BLOCK))
+        cells = np.zeros((self.n_blocks * BLOCK, len(frequent)))
         for i, t in enumerate(frequent):
-            self.cells[i, self.postings[t][0]] = self.postings[t][1]
-        self.cells = self.cells.reshape(len(frequent), n_blocks, BLOCK)
-        self.best = self.cells.max(2)
-        self.begin = np.concatenate([[0], np.cumsum(np.where(self.place < 0, held, 0))]).tolist()
-        others = [p for p, i in zip(self.postings, self.place.tolist(), strict=True) if i < 0]
-        self.at = np.concatenate([np.zeros(0, np.int32), *[a for a, _ in others]]).astype(np.int32)
-        self.w = np.concatenate([np.zeros(0), *[w for _, w in others]])
-        self.postings = []
+            span = slice(self.begin[t], self.begin[t + 1])
+            cells[self.at[span], i] = self.w[span]
+        self.cells = cells.reshape(self.n_blocks, BLOCK, len(frequent))
+        self.best = self.cells.max(1)
         self.known: dict[bytes, tuple[float, list[int]]] = {}
-        self.of_word: dict[str, list[int]] = {}
-
-    def vector(self, text: str | None) -> dict[int, float]:
-        counts: dict[int, int] = {}
-        if len(self.of_word) > WORDS:
-            self.of_word.clear()
-        for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            found = self.of_word.get(word)
-            if found is None:
-                found = self.of_word[word] = [self.number[t] for t in openings(word) if t in self.number]
-            for t in found:
-                counts[t] = counts.get(t, 0) + n
-        raw = {t: (1 + math.log(n)) * self.weights[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(v * v for v in raw.values()))
-        return {t: v / norm for t, v in raw.items()}
-
-    def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k nearest examples as (cosine, number), nearest first, ties by number. Exact: the rarer terms are added
-        up in full, and a block is left out only if its largest such sum and the sum of its largest weights of
-        the frequent terms are together below the k-th best cosine so far."""
-        ts, q = np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), float, len(vector))
-        n_blocks = len(self.ids) // BLOCK + 1
-        place = self.place[ts]
-        rare = place < 0
-        spans = [(self.begin[t], self.begin[t + 1]) for t in ts[rare].tolist()]
-        part = np.zeros(n_blocks * BLOCK)
-        if spans:
-            at = np.concatenate([self.at[a:b] for a, b in spans])
-            w = np.concatenate([self.w[a:b] for a, b in spans]) * np.repeat(q[rare], [b - a for a, b in spans])
-            part = np.bincount(at, w, n_blocks * BLOCK)
-        part = part.reshape(n_blocks, BLOCK)
-        place, q = place[~rare], q[~rare]
-        upper = part.max(1) + q @ self.best[place]
-        left = np.argsort(-upper, kind="stable")[: int(np.count_nonzero(upper))]
-        cosine, at, taken = np.zeros(0), np.zeros(0, np.int64), FIRST_BLOCKS
-        while len(left):
-            blocks, left, taken = left[:taken], left[taken:], taken * 4
-            held = self.cells[place[:, None], blocks].reshape(len(place), len(blocks) * BLOCK)
-            score = (part[blocks] + (q @ held).reshape(len(blocks), BLOCK)).round(12)
-            b, c = np.nonzero(score)
-            cosine, at = np.append(cosine, score[b, c]), np.append(at, blocks[b] * BLOCK + c)
-            order = np.lexsort((at, -cosine))[:k]
-            cosine, at = cosine[order], at[order]
-            if len(at) == k:
-                left = left[upper[left] >= cosine[-1] - 1e-9]
-        return list(zip(cosine.tolist(), at.tolist(), strict=True))
-
-    def score(self, text: str | None) -> tuple[float, list[int]]:
+        self.word_no: dict[str, int] = {}
+        self.terms_of = np.full((WORDS, 1 + len(OPENINGS)), -1, np.int32)
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the text's terms, of length 1 over all terms that any example has."""
+        counts = Counter(_WORD.findall((text or "").lower()))
+        if len(self.word_no) + len(counts) > len(self.terms_of):
+            self.word_no.clear()
+            self.terms_of = np.full((max(WORDS, len(counts)), self.terms_of.shape[1]), -1, np.int32)
+        numbers = list(map(self.word_no.get, counts))
+        if None in numbers:
+            for i, word in enumerate(counts):
+                if numbers[i] is None:
+                    numbers[i] = self.word_no[word] = len(self.word_no)
+                    mine = [self.number[t] for t in openings(word) if t in self.number]
+                    self.terms_of[numbers[i], : len(mine)] = mine
+        found = self.terms_of[numbers] if numbers else self.terms_of[:0]
+        known = found >= 0
+        times = np.broadcast_to(np.fromiter(counts.values(), float, len(counts))[:, None], found.shape)[known]
+        found = found[known]
+        if not len(found):
+            return _NO_TERMS, np.zeros(0)
+        ts, back = np.unique(found.astype(np.int64), return_inverse=True)
+        raw = (1 + np.log(np.bincount(back, times))) * self.weights[ts]
+        return ts, raw / math.sqrt(raw @ raw)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the cosines and numbers of the k nearest examples, nearest first, ties by number; the
+        example numbered in without is left out. Exact: the rarer terms are added up in full, and a block is left out
+        only if its largest such sum and the sum of its largest weights of the frequent terms are together below
+        the k-th best cosine of the text's first blocks."""
+        n, many = self.n_blocks * BLOCK, len(vectors)
+        part, q = np.zeros((many, n)), np.zeros((many, self.cells.shape[2]))
+        for i, (ts, v) in enumerate(vectors):
+            place = self.place[ts]
+            q[i, place[place >= 0]] = v[place >= 0]
+            ts, v = ts[place < 0], v[place < 0]
+            first = self.begin[ts]
+            size = self.begin[ts + 1] - first
+            if size.sum():
+                index = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                part[i] = np.bincount(self.at[index], self.w[index] * np.repeat(v, size), n)
+        if without is not None:
+            part[np.arange(many), without] = -np.inf
+        blocks = part.reshape(many, self.n_blocks, BLOCK)
+        upper = blocks.max(2) + q @ self.best.T
+        least = np.zeros(many)
+        for i in range(many):
+            ahead = np.argsort(-upper[i], kind="stable")[:FIRST_BLOCKS]
+            score = np.concatenate([blocks[i, b] + self.cells[b] @ q[i] for b in ahead])
+            if len(score) >= k:
+                least[i] = max(np.partition(score, len(score) - k)[-k], 0.0)
+        score = np.full((many, self.n_blocks, BLOCK), -np.inf)
+        for b in range(self.n_blocks):
+            mine = np.flatnonzero((upper[:, b] >= least - 1e-9) & (upper[:, b] > 0))
+            if len(mine):
+                score[mine, b] = blocks[mine, b] + q[mine] @ self.cells[b].T
+        out = []
+        for row in score.reshape(many, n).round(12):
+            top = np.flatnonzero(row >= np.partition(row, n - k)[-k]) if n > k else np.arange(n)
+            top = top[row[top] > 0]
+            top = top[np.lexsort((top, -row[top]))][:k]
+            out.append((row[top], top))
+        return out
+
+    def votes_of(self, cosine: np.ndarray, at: np.ndarray) -> float:
+        w = cosine * cosine * self.votes[at]
+        return float((w @ self.labels[at] + PRIOR_VOTES * self.base_rate) / (w.sum() + PRIOR_VOTES))
+
+    def calibrated(self, raw: float) -> float:
+        if not 0 < raw < 1:
+            return raw
+        return 1 / (1 + math.exp(-(self.slope * math.log(raw / (1 - raw)) + self.shift)))
+
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
         """Score from 0 to 1, and the ids of the three nearest examples. Without any known term: the rate of
         toxic rows among labelled rows."""
-        key = xxhash.xxh3_128_digest((text or "").encode())
-        if key not in self.known:  # copies come again and again
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[key] = self._score(self.vector(text))
-        return self.known[key]
-
-    def _score(self, vector: dict[int, float]) -> tuple[float, list[int]]:
-        top = self.nearest(vector) if vector else []
-        if not top:
-            return self.base_rate, []
-        at = np.array([i for _, i in top])
-        w = np.array([c * c for c, _ in top]) * self.votes[at]
-        return float((w @ self.labels[at] + PRIOR_VOTES * self.base_rate) / (w.sum() + PRIOR_VOTES)), self.ids[at[:3]].tolist()
+        keys = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        fresh = {key: text for key, text in zip(keys, texts, strict=True) if key not in self.known}  # copies come again and again
+        todo = list(fresh.items())
+        for i in range(0, len(todo), TOGETHER):
+            part = todo[i : i + TOGETHER]
+            for (key, _), (cosine, at) in zip(part, self.nearest([self.vector(t) for _, t in part]), strict=True):
+                score = self.calibrated(self.votes_of(cosine, at)) if len(at) else self.base_rate
+                self.known[key] = score, self.ids[at[:3]].tolist()
+        return [self.known[key] for key in keys]
+
+
+def calibration(raw: np.ndarray, toxic: np.ndarray, votes: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve over the log odds of raw scores that fits the labels best, by Newton's
+    method, with a pull of the slope towards 1."""
+    x = np.log(np.clip(raw, 1e-9, 1 - 1e-9) / (1 - np.clip(raw, 1e-9, 1 - 1e-9)))
+    slope, shift = 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(slope * x + shift, -500, 500)))
+        g, h = votes * (p - toxic), votes * np.maximum(p * (1 - p), 1e-9)
+        bend = np.array([[(h * x * x).sum() + 1, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-3]])
+        step = np.clip(np.linalg.solve(bend, np.array([(g * x).sum() + slope - 1, g.sum()])), -1, 1)
+        slope, shift = slope - step[0], shift - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(slope), float(shift)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
@@ -185,38 +241,51 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
         yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.int64())], ["term", "clean", "toxic"])
 
     found = examples.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n = {y: min(max_examples, totals.get(y, 0)) for y in (0, 1)}
-    stands_for = {y: totals.get(y, 0) / max(n[y], 1) for y in (0, 1)}
-    share = n[1] / max(n[0] + n[1], 1)
-    t, c, both = F.col("toxic"), F.col("clean"), F.col("toxic") + F.col("clean")
-    part = lambda k, p: F.when(k > 0, k * F.log(k / (both * F.lit(max(p, 1e-9))))).otherwise(0.0)
-    evidence = 2 * (part(t, share) + part(c, 1 - share))
-    found = found.withColumn("evidence", F.when(t / both > F.lit(share), evidence).otherwise(0.0))
-    # the terms of 2 * max_examples texts, whatever the input
-    found = found.select("term", both.alias("n"), "evidence").toArrow().to_pandas().sort_values("term")
-    marking = found[found["evidence"] >= MIN_EVIDENCE].sort_values(["evidence", "term"], ascending=[False, True])
-    marking = set(marking["term"][:MAX_TERMS])
-    size = n[0] + n[1] + 1
-    idf = {t: (math.log(size / (1 + k)) + 1) * (1.0 if t in marking else PLAIN) for t, k in zip(found["term"], found["n"].tolist(), strict=True)}
-    none = (np.zeros(0, np.int64), np.zeros(0))
-    shared = spark.sparkContext.broadcast(Model(idf, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [none] * len(idf), 0.0))
+    found = found.toArrow().sort_by("term")  # the terms of 2 * max_examples texts, whatever the input
+    n = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
+    stands_for = [totals.get(0, 0) / max(n_clean, 1), totals.get(1, 0) / max(n_toxic, 1)]
+    weights = term_weights(found["clean"].to_numpy(), found["toxic"].to_numpy(), n_clean, n_toxic)
+    number = {t: i for i, t in enumerate(found["term"].to_pylist())}
+    base_rate = totals.get(1, 0) / max(sum(totals.values()), 1)
+    nothing = np.zeros(0)
+    shared = spark.sparkContext.broadcast(Model(number, weights, nothing, nothing, nothing, np.zeros(len(number) + 1, np.int64), np.zeros(0, np.int32), nothing, base_rate))
 
     def vectors(batches):
         for batch in batches:
             out = [shared.value.vector(x.as_py()) for x in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array([list(v) for v in out], pa.list_(pa.int32())), pa.array([list(v.values()) for v in out], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array([t for t, _ in out], pa.list_(pa.int32())), pa.array([v for _, v in out], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
 
-    indexed = examples.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").toArrow().to_pandas()
-    indexed = indexed[indexed["terms"].map(len) > 0].sort_values("doc_id")
+    # the vectors of 2 * max_examples texts at most
+    indexed = examples.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").toArrow().sort_by("doc_id").combine_chunks()
     shared.unpersist()
-    at = np.repeat(np.arange(len(indexed)), indexed["terms"].map(len).to_numpy(np.int64))
-    term, w = (np.concatenate([np.zeros(0), *indexed[c]]) for c in ("terms", "weights"))
+    sizes = np.array([len(x) for x in indexed["terms"]], np.int64)
+    term, w = (np.concatenate([np.zeros(0, k), *[c.flatten().to_numpy() for c in indexed[name].chunks]]) for name, k in (("terms", np.int32), ("weights", float)))
+    at = np.repeat(np.arange(len(indexed), dtype=np.int32), sizes)
     order = np.argsort(term, kind="stable")
-    cuts = np.searchsorted(term[order], np.arange(1, len(idf)))
-    postings = list(zip(np.split(at[order], cuts), np.split(w[order], cuts), strict=True)) if idf else []
-    y = indexed["toxic"].to_numpy(float)
-    base_rate = totals.get(1, 0) / max(sum(totals.values()), 1)
-    return Model(idf, indexed["doc_id"].to_numpy(np.int64), y, np.where(y > 0, stands_for[1], stands_for[0]), postings, base_rate)
+    begin = np.searchsorted(term[order], np.arange(len(number) + 1))
+    ids, y = indexed["doc_id"].to_numpy().astype(np.int64), indexed["toxic"].to_numpy().astype(float)
+    votes = np.where(y > 0, stands_for[1], stands_for[0])
+    model = Model(number, weights, ids, y, votes, begin, at[order], w[order], base_rate)
+    if n_clean and n_toxic:
+        shared = spark.sparkContext.broadcast(model)
+        place = {d: i for i, d in enumerate(ids.tolist())}
+
+        def others_say(batches):
+            m = shared.value
+            for batch in batches:
+                texts, own = batch["text"].to_pylist(), [place[d] for d in batch["doc_id"].to_pylist()]
+                raw = []
+                for i in range(0, len(texts), TOGETHER):
+                    found = m.nearest([m.vector(t) for t in texts[i : i + TOGETHER]], without=own[i : i + TOGETHER])
+                    raw += [m.votes_of(c, a) for c, a in found]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(raw, pa.float64())], ["own", "raw"])
+
+        said = examples.select("doc_id", "text").mapInArrow(others_say, "own long, raw double").toArrow()
+        shared.unpersist()
+        own = said["own"].to_numpy()
+        model.slope, model.shift = calibration(said["raw"].to_numpy(), y[own], votes[own])
+    return model
 
 
 def training_part(doc_id: Column) -> Column:
@@ -229,7 +298,7 @@ def scorer(spark: SparkSession, model: Model):
 
     @F.pandas_udf("score double, evidence array<long>")
     def score(texts: pd.Series) -> pd.DataFrame:
-        found = [shared.value.score(t) for t in texts]
+        found = shared.value.score(texts.tolist())
         return pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
     return score

@@ -104,27 +104,11 @@ def test_toxicity(spark, frame):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     held = [(got[d].predicted, y, got[d].score) for d, y in labels.items() if got[d].held_out]
     hit = sum(p and y for p, y, _ in held)
-    assert hit / sum(p for p, _, _ in held) > 0.9 and hit / sum(y for _, y, _ in held) > 0.7
+    assert hit / sum(p for p, _, _ in held) >= 0.9 and hit / sum(y for _, y, _ in held) >= 0.85
     none = toxicity.score_documents(frame, spark.createDataFrame([], "doc_id long, toxic int"))
     assert none.count() == frame.count() and none.where("predicted = 1 or score is null").count() == 0
 
 
-def test_nearest_is_exact(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    n, terms = 500, 12
-    dense = rng.random((n, terms)) * (rng.random((n, terms)) < 0.3)
-    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
-    postings = [(np.flatnonzero(dense[:, t]), dense[np.flatnonzero(dense[:, t]), t]) for t in range(terms)]
-    model = toxicity.Model({str(t): 1.0 for t in range(terms)}, np.arange(n), np.zeros(n), np.ones(n), postings, 0.1)
-    for _ in range(50):
-        q = {int(t): float(v) for t, v in zip(rng.choice(terms, 3, replace=False), rng.random(3))}
-        score = sum(v * dense[:, t] for t, v in q.items()).round(12)
-        best = sorted(range(n), key=lambda i: (-score[i], i))[:15]
-        assert [i for _, i in model.nearest(q)] == [i for i in best if score[i] > 0]
-
-
 def test_mixing(spark, docs):
     rng = random.Random(1)
     named = [(d, t, rng.choice(["a", "b", "b", "b", "Z", None, "é"])) for d, t in docs]
