@@ -270,7 +270,7 @@ def test_exchange_gains():
     rng = np.random.default_rng(1)
     group = rng.integers(0, 3, 40)
     pairs = np.where(group[:, None] == (group[None] + 1) % 3, 50, 0) + rng.integers(0, 2, (40, 40))
-    label = language_model.exchange(pairs.astype(float), 3, 20)
+    label = language_model.exchange(pairs.astype(float), 3)
     assert len({(g, c) for g, c in zip(group, label)}) == 3
 
 
