@@ -26,7 +26,7 @@ from parlance.llm.tokens import common_from, tally
 #: Words that every Python worker may hold, with count and class; rarer ones are joined by a shuffle.
 COMMON = 300_000
 #: Words that are clustered on the driver; their square is the size of its matrix.
-CORE = 1_024
+CORE = 768
 #: Groups, by ending, of words too rare to be held: those seen once, and all beyond COMMON.
 GROUPS = 256
 CLASSES = 64
@@ -182,7 +182,9 @@ def count_words(docs: DataFrame, most: int = COMMON) -> tuple[Model, DataFrame,
     end_count = docs.count()
     least = max(common_from(counts, most), 2)  # words seen once tell, in their groups, what unseen ones are like
     held = counts.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # `most` rows at most
-    number = {w.encode(): i + 1 for i, w in enumerate(held["word"].to_pylist())}
+    number = {w.as_py().encode(): i + 1 for i, w in enumerate(held["word"])}
+    held_counts = held["n"].to_numpy()
+    del held
 
     def spread(batches):
         n, v = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
@@ -198,7 +200,7 @@ def count_words(docs: DataFrame, most: int = COMMON) -> tuple[Model, DataFrame,
         tokens[r.g], kinds[r.g] = r.n, r.v
     n_units = len(number) + 1 + GROUPS
     empty = np.zeros(0)
-    model = Model(number, held["n"].to_numpy(), end_count, (total.v or 0) + (end_count > 0), (total.n or 0) + end_count, tokens, kinds, np.full(n_units, -1, np.int16), empty, empty)
+    model = Model(number, held_counts, end_count, (total.v or 0) + (end_count > 0), (total.n or 0) + end_count, tokens, kinds, np.full(n_units, -1, np.int16), empty, empty)
     return model, counts, least
 
 
@@ -224,24 +226,34 @@ def _pairs(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _table_of(texts: DataFrame, size: int, code) -> np.ndarray:
-    """size x size counts of the codes of neighbouring units; sums of tasks are summed before eight reach the driver."""
+    """size x size counts of the codes of neighbouring units. Tasks pass on the cells they found; these are summed in
+    eight tasks and then in one, whose size x size numbers reach the driver."""
+
+    def cells(total: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], ["at", "n"])
 
     def count(batches):
         total = np.zeros(size * size, np.int64)
         for units in _chunks(batches):
             a, b = _pairs(units)
             total += np.bincount(code(a).astype(np.int64) * size + code(b), minlength=size * size)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["n"])
+        yield cells(total)
 
     def add(batches):
         total = np.zeros(size * size, np.int64)
         for batch in batches:
-            for raw in batch["n"]:
-                total = total + np.frombuffer(raw.as_buffer(), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["n"])
-
-    found = texts.mapInArrow(count, "n binary").repartition(8).mapInArrow(add, "n binary").collect()
-    return sum((np.frombuffer(r.n, "<i8") for r in found), np.zeros(size * size, np.int64)).astype(float).reshape(size, size)
+            for at, n in zip(batch["at"], batch["n"], strict=True):
+                total[np.frombuffer(at.as_buffer(), "<i4")] += np.frombuffer(n.as_buffer(), "<i8")
+        yield cells(total)
+
+    found = texts
+    for parts, step in ((0, count), (8, add), (1, add)):
+        found = (found.repartition(parts) if parts else found).mapInArrow(step, "at binary, n binary")
+    out = np.zeros(size * size)
+    for r in found.collect():
+        out[np.frombuffer(r.at, "<i4")] += np.frombuffer(r.n, "<i8")
+    return out.reshape(size, size)
 
 
 def _neighbours(texts: DataFrame, shared, core: int, k: int, parts: int) -> DataFrame:
