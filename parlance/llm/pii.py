@@ -1,8 +1,10 @@
 """Personal data with built-in functions alone: patterns, then contextual extraction bootstrapped from them.
 
-Matches of the patterns are the seeds. The words that stand before seeds become lexical patterns; Spark scores
-the graph of patterns and instances (identifier-like words) in turns, and patterns of high confidence mark
-instances that no base pattern knows.
+Matches of the patterns are the seeds. The one and two words before seeds and the word behind them become lexical
+patterns; Spark scores the graph of patterns and instances (identifier-like words) in turns. A pattern is trusted by
+the share of its uses in the whole corpus, ordinary words counted, that a seed or an accepted instance fills, so words
+that stand before anything are never trusted. Trusted patterns accept instances, which count for the patterns of the
+next turn, until a turn accepts none.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "context")
 
-#: An instance is a word with an at sign or four digits, with the word before it where that is no instance.
-INSTANCE = r"(?:(?:[^\s0-9]*+[0-9]){4}|[^\s@]*+@)[^\s]*+"
-OCCURRENCE = r"(?<![^\s])(?:[^\s]++\s++)?" + INSTANCE
-LEFT = r"^([^\s]++)\s"
-ROUNDS = 3
-#: A pattern counts if it stands before so many distinct seeds; it marks instances from so high a score.
+#: An instance is a word with an at sign or four digits, without the signs that end or close it.
+INSTANCE = r"(?<![^\s])(?:(?:[^\s0-9]*+[0-9]){4}|[^\s@]*+@)[^\s]*+"
+#: A pattern counts if so many distinct trusted instances fill it, and is trusted from such a share of its uses.
 MIN_SEEDS = 3
 CONFIDENT = 0.6
+#: Words of possible patterns that are broadcast at most; more are joined by a shuffle.
+MAX_WORDS = 100_000
+SALT = 16
 
 
 def digits(text: Column) -> Column:
@@ -56,47 +58,84 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def occurrences(text: Column, base: Column) -> Column:
-    """array<struct<start,end,left,instance,seed>> of the identifier-like words in a text."""
-
-    def one(s: Column) -> Column:
-        word = F.regexp_extract(s["text"], f"{INSTANCE}$", 0)
-        start = s["end"] - F.length(word)
-        left = F.regexp_replace(F.lower(F.regexp_extract(s["text"], LEFT, 1)), "[0-9]+", "0")
-        seed = F.exists(base, lambda b: (b["start"] < s["end"]) & (start < b["end"]))
-        return F.struct(start.alias("start"), s["end"].alias("end"), left.alias("left"), F.lower(word).alias("instance"), seed.alias("seed"))
+def _folded(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[0-9]+", "0")
 
-    return F.transform(spans.matches(text, OCCURRENCE), one)
 
+def occurrences(text: Column, base: Column) -> Column:
+    """array<struct<start,end,patterns,instance,seed>> of the identifier-like words in a text. Patterns are array
+    <struct<kind,word,other>>: the word before, that with the one before it, the word behind, in lower case with one 0
+    for digits in a row; a neighbour that is an instance itself gives none."""
+    before = lambda gap: F.regexp_extract(gap, r"(?<![^\s])((?:[^\s]++\s++)?[^\s]++)\s*+$", 1)
+    after = lambda gap: F.regexp_extract(gap, r"^[^\s]*+\s++([^\s]++)(?=\s|$)", 1)
 
-def confident_patterns(found: DataFrame, rounds: int = ROUNDS, least: float = CONFIDENT, min_seeds: int = MIN_SEEDS) -> tuple[DataFrame, DataFrame]:
-    """found (left, instance, seed) -> patterns (left, score) and instances (instance, score) of high confidence.
-
-    An edge joins a pattern with each distinct instance behind it. In turn a pattern's score is the mean of its
-    instances' scores, one more instance of score 0 counted in, and an instance that is no seed has the
-    probability that one of its patterns is right. Patterns before fewer than min_seeds distinct seeds are left
-    out first, so a common word whose instances are never seeds costs one row.
+    def one(s: Column) -> Column:
+        word = F.regexp_replace(s["text"], r"[.,;:!?)\]>\"']++$", "")
+        end = s["start"] + F.length(word)
+        left = F.split(_folded(s["before"]), r"\s+")
+        near = F.element_at(left, -1)
+        far = F.when(F.size(left) > 1, F.element_at(left, 1)).otherwise("")
+        behind = _folded(s["after"])
+        pattern = lambda kind, w, o: F.struct(F.lit(kind).alias("kind"), w.alias("word"), o.alias("other"))
+        found = F.array(pattern("before", near, F.lit("")), pattern("two", near, far), pattern("behind", behind, F.lit("")))
+        found = F.filter(found, lambda p: (p["word"] != "") & ((p["kind"] != "two") | (p["other"] != "")))
+        seed = F.exists(base, lambda b: (b["start"] < end) & (s["start"] < b["end"]))
+        return F.struct(s["start"].alias("start"), end.alias("end"), found.alias("patterns"), F.lower(word).alias("instance"), seed.alias("seed"))
+
+    return F.transform(spans.matches(text, INSTANCE, before, after), one)
+
+
+_PATTERN = ("kind", "word", "other")
+
+
+def uses(docs: DataFrame, patterns: DataFrame, most: int = MAX_WORDS) -> DataFrame:
+    """docs (text), patterns (kind, word, other) -> patterns with uses: how often it stands in the texts."""
+    listed = patterns.select("word").distinct()
+    words = F.broadcast(listed) if listed.count() <= most else listed
+    said = F.split(_folded(F.col("text")), r"\s+")
+    follow = lambda w, o: F.struct(w.alias("word"), o.alias("other"))
+    pairs = spans.bound(said, lambda a: F.zip_with(a, F.concat(F.array(F.lit("")), F.slice(a, 1, F.size(a) - 1)), follow))
+    pairs = docs.where("text is not null").select(F.explode(pairs).alias("p"))
+    pairs = pairs.select("p.word", "p.other").join(words, "word", "left_semi").groupBy("word", "other").agg(F.count("*").alias("n"))
+    pairs = materialise(pairs)
+    one = pairs.groupBy("word").agg(F.sum("n").alias("n"))
+    alone = patterns.where("kind <> 'two'").join(one, "word").select(*_PATTERN, F.col("n").alias("uses"))
+    return alone.unionByName(patterns.where("kind = 'two'").join(pairs, ["word", "other"]).select(*_PATTERN, F.col("n").alias("uses")))
+
+
+def confident_patterns(found: DataFrame, docs: DataFrame, least: float = CONFIDENT, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """found (patterns, instance, seed), docs (text) -> kind, word, other, trust of the trusted patterns.
+
+    An edge joins a pattern with each distinct instance that fills it; n counts how often. Patterns that fewer than
+    min_seeds distinct instances fill cannot be trusted in any turn and are left out first. The trust of a pattern is
+    the number of its uses that a trusted instance fills over all its uses and one more.
     """
-    edges = found.where("left <> ''").groupBy("left", "instance").agg(F.max("seed").alias("seed"))
-    useful = edges.groupBy("left").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= min_seeds).select("left")
-    edges = materialise(edges.join(useful, "left", "left_semi"))
-    scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    seeds = scores.where("score = 1").select("instance", F.lit(True).alias("fixed"))
-    patterns = None
-    for _ in range(rounds):
-        patterns = edges.join(scores, "instance").groupBy("left").agg((F.sum("score") / (F.count("*") + 1)).alias("trust"))
-        patterns = materialise(patterns)
-        miss = F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.99))))
-        scores = edges.join(patterns, "left").groupBy("instance").agg((1 - F.exp(miss)).alias("p"))
-        scores = scores.join(seeds, "instance", "left").select("instance", F.when(F.col("fixed"), 1.0).otherwise(F.col("p")).alias("score"))
-        scores = materialise(scores)
-    return patterns.where(F.col("trust") >= least).select("left", F.col("trust").alias("score")), scores.where(F.col("score") >= least)
+    edges = found.select(F.explode("patterns").alias("p"), "instance", "seed").groupBy("p.kind", "p.word", "p.other", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    edges = materialise(edges)
+    possible = materialise(edges.groupBy(*_PATTERN).agg(F.count("*").alias("many")).where(F.col("many") >= min_seeds).select(*_PATTERN))
+    used = materialise(uses(docs, possible))
+    seeds = materialise(found.where("seed").select("instance").distinct())
+    accepted, trusted = seeds, None
+    while True:
+        marked = edges.join(accepted, "instance", "left_semi")
+        sums = marked.groupBy(*_PATTERN).agg(F.count("*").alias("many"), F.sum("n").alias("n")).where(F.col("many") >= min_seeds)
+        sums = sums.join(used, list(_PATTERN)).withColumn("trust", F.col("n") / (F.col("uses") + 1)).where(F.col("trust") >= least)
+        trusted = materialise(sums.select(*_PATTERN, "trust"))
+        spread = trusted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        salted = edges.withColumn("salt", F.pmod(F.hash("instance"), SALT))
+        more = salted.join(spread.drop("trust"), [*_PATTERN, "salt"], "left_semi").select("instance").distinct().join(accepted, "instance", "left_anti")
+        more = materialise(more)
+        if more.isEmpty():
+            return trusted
+        accepted = materialise(accepted.unionByName(more))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, email, ip, card, phone, context: arrays of start, end (code points).
 
-    Null and empty texts have none. Each row of docs gives one row; other columns are ignored.
+    Null and empty texts have none; a text of any length is searched whole. Each row of docs gives one row; other
+    columns are ignored, whatever their names. context has the instances that no base span touches and that stand in
+    a trusted pattern.
     """
     text = F.col("text")
     plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
@@ -105,9 +144,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", *base, occurrences(text, F.concat(*base)).alias("seen"))
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
     seen = rows.select("row", F.explode("seen").alias("s")).select("row", "s.*")
-    patterns, instances = confident_patterns(seen)
-    new = seen.where("not seed").join(patterns.select("left"), "left").join(instances.select("instance"), "instance", "left_semi")
-    new = new.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("context"))  # a text's own spans
+    trusted = confident_patterns(seen, docs.select("text")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    new = seen.where("not seed").select("row", "start", "end", F.explode("patterns").alias("p")).select("row", "start", "end", "p.*")
+    new = new.withColumn("salt", F.pmod(F.hash("row"), SALT)).join(trusted, [*_PATTERN, "salt"], "left_semi")
+    new = new.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("context"))  # a text's own spans
     return rows.drop("seen").join(new, "row", "left").select("doc_id", *base, F.coalesce("context", F.array().cast("array<struct<start:int,end:int>>")).alias("context"))
 
 

@@ -13,18 +13,21 @@ from parlance.llm.common import materialise, table
 
 #: Pre-tokens that every Python worker may hold; rarer ones are joined by a shuffle.
 COMMON = 300_000
+#: Characters of a pre-token that workers may hold; longer ones are joined however frequent they are.
+COMMON_CHARS = 64
 #: Distinct pre-tokens that a task gathers before it passes them on.
 HELD = 400_000
 LIMIT = 4096
 
 #: The model puts a space before the text and has no piece with a space or line feed behind another
-#: character, so a merge never crosses these places.
+#: character, so a merge never crosses these places. It writes a space as U+2581, so the two are one.
+_SPACE = "\u2581"
 _PRE = re.compile(r" +[^ \n]*|\n[^ \n]*")
 _loaded: dict[str, object] = {}
 
 
 def pre_tokens(text: str | None) -> list[str]:
-    return _PRE.findall(" " + text) if text else []
+    return _PRE.findall(" " + text.replace(_SPACE, " ")) if text else []
 
 
 def piece_count(pre_token: str, processor) -> int:
@@ -94,7 +97,8 @@ def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT, most: int = CO
 
     counts = materialise(counts.mapInArrow(encode, "piece string, n long, pieces long"))
     least = common_from(counts, most)
-    shared = spark.sparkContext.broadcast({r.piece: r.pieces for r in counts.where(F.col("n") >= least).select("piece", "pieces").toLocalIterator()})
+    common = (F.col("n") >= least) & (F.length("piece") <= COMMON_CHARS)
+    shared = spark.sparkContext.broadcast({r.piece: r.pieces for r in counts.where(common).select("piece", "pieces").toLocalIterator()})
 
     def measure(batches):
         known = shared.value
@@ -117,7 +121,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT, most: int = CO
     rows = docs.mapInArrow(measure, f"doc_id {kind}, n_bytes long, known long, rare array<string>, times array<int>")
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
     seen = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("piece"), F.col("x.times").alias("times"))
-    rest = seen.join(counts.where(F.col("n") < least).select("piece", "pieces"), "piece")
+    rest = seen.join(counts.where(~common).select("piece", "pieces"), "piece")
     rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
     total = F.col("known") + F.coalesce("more", F.lit(0))
     out = rows.select("row", "doc_id", "n_bytes", "known").join(rest, "row", "left")
