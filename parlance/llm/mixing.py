@@ -7,7 +7,6 @@ each further copy, and seeded hashes then pick the documents that make up each p
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 SEED = 11
-#: Patterns and sources that the driver's flow may hold. They are counted before they are collected.
-MAX_PATTERNS = 50_000
+#: Patterns and sources that the driver's flow may hold (about 1 KB each). They are counted before they are collected.
+MAX_PATTERNS = 1_000_000
 #: Bits of the seeded hash by which one selection step narrows the boundary of a pattern.
 STEP_BITS = 12
 HASH_BITS = 60
@@ -63,55 +62,87 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies: in
 def route(patterns: dict[int, tuple[list[int], int]], quotas: dict[int, int], max_copies: int = MAX_COPIES) -> dict[tuple[int, int], int]:
     """Min-cost flow of tokens from patterns to quotas: {(pattern, source): tokens}.
 
-    patterns: id -> (sources, tokens). The k-th copy of a pattern's tokens costs k * k a token, so first
-    copies are used before second ones. Successive shortest paths with potentials; every augmentation
-    saturates an arc. Ties go to the smaller number, so reruns agree.
+    patterns: id -> (sources, tokens). The k-th copy of a pattern's tokens costs k * k a token. As nothing else costs,
+    a cheapest path costs what its copy costs: the flow of first copies is made as large as can be, then second
+    copies are let in and it is augmented, and so on; each of these is a largest flow by blocking flows along
+    shortest paths. Arcs are taken in the order of the numbers, so reruns agree.
     """
-    graph: dict[object, list[int]] = {}
-    head, capacity, cost = [], [], []
-
-    def arc(a, b, cap, price):
-        graph.setdefault(a, []).append(len(head))
-        head.append(b), capacity.append(cap), cost.append(price)
-        graph.setdefault(b, []).append(len(head))
-        head.append(a), capacity.append(0), cost.append(-price)
-        return len(head) - 2
-
-    links = {}
-    for p, (members, tokens) in sorted(patterns.items()):
-        for k in range(max_copies):
-            arc("from", ("p", p), tokens, (k + 1) ** 2)
-        for s in sorted(members):
-            links[p, s] = arc(("p", p), ("s", s), max_copies * tokens, 0)
-    for s, quota in sorted(quotas.items()):
-        arc(("s", s), "to", quota, 0)
-    potential = dict.fromkeys(graph, 0)
-    name = {node: i for i, node in enumerate(graph)}
-    while "from" in graph and "to" in graph:
-        dist, via, queue = {"from": 0}, {}, [(0, 0, "from")]
-        while queue:
-            d, _, node = heapq.heappop(queue)
-            if d > dist[node]:
-                continue
-            for e in graph[node]:
-                if capacity[e] > 0:
-                    new = d + cost[e] + potential[node] - potential[head[e]]
-                    if head[e] not in dist or new < dist[head[e]]:
-                        dist[head[e]], via[head[e]] = new, e
-                        heapq.heappush(queue, (new, name[head[e]], head[e]))
-        if "to" not in dist:
-            break
-        for node, d in dist.items():
-            potential[node] += d
-        path, node = [], "to"
-        while node != "from":
-            path.append(via[node])
-            node = head[via[node] ^ 1]
-        push = min(capacity[e] for e in path)
-        for e in path:
-            capacity[e] -= push
-            capacity[e ^ 1] += push
-    return {key: capacity[e ^ 1] for key, e in links.items() if capacity[e ^ 1]}
+    order, names = sorted(patterns), sorted(quotas)
+    place = {s: len(order) + i for i, s in enumerate(names)}
+    n = len(order) + len(names)
+    begin, to, flow, back = [0], [], [], []
+    of_source: list[list[int]] = [[] for _ in names]
+    for i, p in enumerate(order):
+        for s in sorted(set(patterns[p][0]) & quotas.keys()):
+            of_source[place[s] - len(order)].append(len(to))
+            to.append(place[s])
+            back.append(i)
+            flow.append(0)
+        begin.append(len(to))
+    supply, quota = [0] * len(order), [quotas[s] for s in names]
+    for _ in range(max_copies):
+        for i, p in enumerate(order):
+            supply[i] += patterns[p][1]
+        while True:
+            depth = [-1] * n
+            front = [i for i in range(len(order)) if supply[i]]
+            for i in front:
+                depth[i] = 0
+            reached = False
+            while front and not reached:
+                following = []
+                for v in front:
+                    if v < len(order):
+                        steps = to[begin[v] : begin[v + 1]]
+                    else:
+                        steps = [back[e] for e in of_source[v - len(order)] if flow[e]]
+                    for w in steps:
+                        if depth[w] < 0:
+                            depth[w] = depth[v] + 1
+                            following.append(w)
+                            reached |= w >= len(order) and quota[w - len(order)] > 0
+                front = following
+            if not reached:
+                break
+            _block(order, begin, to, back, of_source, flow, supply, quota, depth)
+    return {(order[back[e]], names[to[e] - len(order)]): f for e, f in enumerate(flow) if f}
+
+
+def _block(order, begin, to, back, of_source, flow, supply, quota, depth) -> None:
+    """A blocking flow along the layers of depth: paths are grown arc by arc, arcs that lead nowhere are left behind."""
+    first = len(order)
+    at = begin[:-1] + [0] * len(quota)
+    for root in range(first):
+        while supply[root] and depth[root] == 0:
+            path, v = [], root  # (arc, forward)
+            while v < first or not quota[v - first]:
+                if v < first:
+                    while at[v] < begin[v + 1] and depth[to[at[v]]] != depth[v] + 1:
+                        at[v] += 1
+                    if at[v] < begin[v + 1]:
+                        path.append((at[v], True))
+                        v = to[at[v]]
+                        continue
+                else:
+                    arcs = of_source[v - first]
+                    while at[v] < len(arcs) and (not flow[arcs[at[v]]] or depth[back[arcs[at[v]]]] != depth[v] + 1):
+                        at[v] += 1
+                    if at[v] < len(arcs):
+                        path.append((arcs[at[v]], False))
+                        v = back[arcs[at[v]]]
+                        continue
+                if not path:  # nothing leads on from the root
+                    depth[root] = -1
+                    break
+                arc, forward = path.pop()
+                v = back[arc] if forward else to[arc]
+                at[v] += 1
+            else:
+                push = min([supply[root], quota[v - first], *(flow[e] for e, forward in path if not forward)])
+                supply[root] -= push
+                quota[v - first] -= push
+                for e, forward in path:
+                    flow[e] += push if forward else -push
 
 
 def mix(docs: DataFrame, quotas: DataFrame, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:

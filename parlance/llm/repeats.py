@@ -366,7 +366,7 @@ _RUN = ["oid", "h", "at", "end"]
 def _together(docs: DataFrame, others: DataFrame, parts: int) -> DataFrame:
     """Texts and the rows about them in one partition, a text before its rows."""
     both = docs.unionByName(others, allowMissingColumns=True)
-    return both.repartition(parts, "oid").sortWithinPartitions("oid", "h", F.col("text").isNull())
+    return both.repartition(parts, "oid", "h").sortWithinPartitions("oid", "h", F.col("text").isNull())
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
