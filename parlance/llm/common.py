@@ -51,6 +51,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores until df has no such column (case does not tell columns apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): (node, root), root the smallest node.
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from parlance.llm.common import components, materialise, table
+from parlance.llm.common import components, fresh, materialise, table
 
 SHINGLE = 4
 BITS = 4
@@ -313,8 +313,9 @@ def first_rows(docs: DataFrame, prints: DataFrame, links: DataFrame) -> DataFram
     if again.isEmpty():
         return kept
     order = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0))
-    repeated = kept.join(again, same(again), "left_semi").withColumn("_nth", F.row_number().over(order))
-    return kept.join(again, same(again), "left_anti").unionByName(repeated.where("_nth = 1").drop("_nth"))
+    nth = fresh(docs, "_nth")
+    repeated = kept.join(again, same(again), "left_semi").withColumn(nth, F.row_number().over(order))
+    return kept.join(again, same(again), "left_anti").unionByName(repeated.where(F.col(nth) == 1).drop(nth))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
