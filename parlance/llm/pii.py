@@ -89,18 +89,19 @@ _PATTERN = ("kind", "word", "other")
 
 
 def uses(docs: DataFrame, patterns: DataFrame, most: int = MAX_WORDS) -> DataFrame:
-    """docs (text), patterns (kind, word, other) -> patterns with uses: how often it stands in the texts."""
-    listed = patterns.select("word").distinct()
-    words = F.broadcast(listed) if listed.count() <= most else listed
-    said = F.split(_folded(F.col("text")), r"\s+")
+    """docs (text), patterns (kind, word, other) -> patterns with uses: how often it stands in the texts. Texts meet the
+    patterns' words, and pairs of words, in the tasks that read them, if these are `most` at most; only counts travel."""
+    near = lambda df: F.broadcast(df) if df.count() <= most else df
+    pair = patterns.where("kind = 'two'").select("word", "other")
     follow = lambda w, o: F.struct(w.alias("word"), o.alias("other"))
-    pairs = spans.bound(said, lambda a: F.zip_with(a, F.concat(F.array(F.lit("")), F.slice(a, 1, F.size(a) - 1)), follow))
-    pairs = docs.where("text is not null").select(F.explode(pairs).alias("p"))
-    pairs = pairs.select("p.word", "p.other").join(words, "word", "left_semi").groupBy("word", "other").agg(F.count("*").alias("n"))
-    pairs = materialise(pairs)
-    one = pairs.groupBy("word").agg(F.sum("n").alias("n"))
-    alone = patterns.where("kind <> 'two'").join(one, "word").select(*_PATTERN, F.col("n").alias("uses"))
-    return alone.unionByName(patterns.where("kind = 'two'").join(pairs, ["word", "other"]).select(*_PATTERN, F.col("n").alias("uses")))
+    pairs = spans.bound(F.split(_folded(F.col("text")), r"\s+"), lambda a: F.zip_with(a, F.concat(F.array(F.lit("")), F.slice(a, 1, F.size(a) - 1)), follow))
+    pairs = docs.where("text is not null").select(F.explode(pairs).alias("p")).select("p.word", "p.other")
+    pairs = pairs.join(near(patterns.select("word").distinct()), "word", "left_semi")
+    pairs = pairs.join(near(pair.withColumn("asked", F.lit(True))), ["word", "other"], "left")
+    counts = materialise(pairs.groupBy("word", F.when(F.col("asked"), F.col("other")).alias("other")).agg(F.count("*").alias("n")))
+    one = counts.groupBy("word").agg(F.sum("n").alias("uses"))
+    alone = patterns.where("kind <> 'two'").join(one, "word").select(*_PATTERN, "uses")
+    return alone.unionByName(patterns.where("kind = 'two'").join(counts, ["word", "other"]).select(*_PATTERN, F.col("n").alias("uses")))
 
 
 def confident_patterns(found: DataFrame, docs: DataFrame, least: float = CONFIDENT, min_seeds: int = MIN_SEEDS) -> DataFrame:
