@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from parlance.functions.sentiment import bound
 
 # Marker words and diacritics of each language.
 MARKERS = {
@@ -38,23 +41,27 @@ def _among(values: list[str]):
     return lambda w: w.isin(values)  # a hash lookup, where array_contains would go through the list
 
 
-def _sum_for(code: str):
-    return lambda total, line: total + F.when(line["code"] == code, line["confidence"]).otherwise(0.0)
-
-
 def scores(text: Column) -> Column:
-    """array<struct<score,rank,code>>, one for each language in the order of MARKERS."""
+    """array<struct<score,rank,code>>, one for each language in the order of MARKERS. The words are gone through once
+    for those that mark any language, and the text once for its diacritics; each language looks at what is left."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))
-    out = []
-    for i, (code, markers) in enumerate(MARKERS.items()):
-        ratio = F.size(F.filter(words, _among(markers.split()))) / F.greatest(F.size(words), F.lit(1))
-        signs = DIACRITICS.get(code, "")
-        hints = F.lit(0.0)
-        for c in signs:
-            hints = hints + F.when(low.contains(c), 0.04).otherwise(0.0)
-        out.append(F.struct((ratio + F.least(hints, F.lit(0.2))).alias("score"), F.lit(-i).alias("rank"), F.lit(code).alias("code")))
-    return F.when(F.size(words) >= MIN_TOKENS, F.array(*out)).otherwise(F.array().cast("array<struct<score:double,rank:int,code:string>>"))
+    every = sorted({w for markers in MARKERS.values() for w in markers.split()})
+    signs = "".join(sorted(set("".join(DIACRITICS.values()))))
+
+    def each(words: Column) -> Column:
+        return bound(F.struct(F.filter(words, _among(every)).alias("marks"), F.regexp_replace(low, f"[^{signs}]", "").alias("signs")), lambda x: of(words, x))
+
+    def of(words: Column, x: Column) -> Column:
+        out = []
+        for i, (code, markers) in enumerate(MARKERS.items()):
+            ratio = F.size(F.filter(x["marks"], _among(markers.split()))) / F.greatest(F.size(words), F.lit(1))
+            hints = F.lit(0.0)
+            for c in DIACRITICS.get(code, ""):
+                hints = hints + F.when(x["signs"].contains(c), 0.04).otherwise(0.0)
+            out.append(F.struct((ratio + F.least(hints, F.lit(0.2))).alias("score"), F.lit(-i).alias("rank"), F.lit(code).alias("code")))
+        return F.when(F.size(words) >= MIN_TOKENS, F.array(*out)).otherwise(F.array().cast("array<struct<score:double,rank:int,code:string>>"))
+
+    return bound(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)), each)
 
 
 def detect(text: Column, default: str = "en") -> Column:
@@ -66,22 +73,32 @@ def detect(text: Column, default: str = "en") -> Column:
         sure = F.least(F.lit(1.0), best["score"] + (best["score"] - second["score"]))
         return F.struct(F.when(known, best["code"]).otherwise(default).alias("code"), F.when(known, sure).otherwise(0.0).alias("confidence"))
 
-    # within a lambda the scores have a name, so they are worked out once
-    return F.get(F.transform(F.array(F.reverse(F.array_sort(scores(text)))), pick), F.lit(0))
+    return bound(F.reverse(F.array_sort(scores(text))), pick)
 
 
 def sticky(lines: DataFrame, default: str = "en") -> DataFrame:
     """lines (session_id, seq, code, confidence) with current: a language takes over when it leads the one in charge
-    by LEAD in the summed confidence of the last lines. A fold over each session's lines."""
-    frame = W.partitionBy("session_id").orderBy("seq").rowsBetween(-(WINDOW - 1), 0)
-    recent = F.collect_list(F.struct("code", "confidence")).over(frame)
-    whole = W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    tally = F.array(*[F.struct(F.aggregate("recent", F.lit(0.0), _sum_for(c)).alias("score"), F.lit(-i).alias("rank"), F.lit(c).alias("code")) for i, c in enumerate(MARKERS)])
-    rows = lines.withColumn("recent", recent).withColumn("tally", tally).drop("recent")
-
-    def step(now: Column, t: Column) -> Column:
-        lead = F.array_max(t)
-        mine = F.aggregate(t, F.lit(0.0), lambda a, x: a + F.when(x["code"] == now, x["score"]).otherwise(0.0))
-        return F.when((lead["code"] != now) & (lead["score"] - mine >= LEAD), lead["code"]).otherwise(now)
-
-    return rows.withColumn("current", F.aggregate(F.collect_list("tally").over(whole), F.lit(default), step)).drop("tally")
+    by LEAD in the summed confidence of the last lines. One fold over the lines in order, whatever the length of a
+    session; a task keeps the last lines of one session."""
+    rank = {code: i for i, code in enumerate(MARKERS)}
+
+    def fold(batches):
+        session, now, recent = object(), default, deque(maxlen=WINDOW)
+        for part in batches:
+            out = []
+            for key, code, confidence in zip(part["session_id"], part["code"], part["confidence"], strict=True):
+                if key != session:
+                    session, now = key, default
+                    recent.clear()
+                recent.append((code, confidence))
+                tally: dict[str, float] = {}
+                for c, x in recent:
+                    tally[c] = tally.get(c, 0.0) + x
+                lead = min(tally, key=lambda c: (-tally[c], rank.get(c, len(rank))))
+                if lead != now and tally[lead] - tally.get(now, 0.0) >= LEAD:
+                    now = lead
+                out.append(now)
+            yield part.assign(current=out)
+
+    ordered = lines.repartition("session_id").sortWithinPartitions("session_id", "seq")
+    return ordered.mapInPandas(fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema) + ", current string")

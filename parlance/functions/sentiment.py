@@ -1,91 +1,106 @@
-"""Lexicon sentiment. The tokeniser is ASCII, so accented entries of other lexicons never match; that is kept."""
+"""Lexicon sentiment as column expressions. The tokeniser is ASCII, so accented entries of a lexicon never match; that
+is kept."""
 
 from __future__ import annotations
 
-import math
-import re
+from collections.abc import Mapping
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Negations, boosters, and the constants of the score.
-NEGATIONS = frozenset("""
-    not no never none nobody nothing neither nor nowhere cannot cant can't wont won't dont don't isnt isn't
-    arent aren't wasnt wasn't didnt didn't doesnt doesn't shouldnt shouldn't wouldnt wouldn't couldnt couldn't without
-    hardly barely rarely scarcely lack lacks lacking
-    """.split())
-BOOSTERS = {
-    "absolutely": 0.293, "amazingly": 0.293, "completely": 0.293, "considerably": 0.193, "decidedly": 0.293, "deeply": 0.293,
-    "enormously": 0.293, "entirely": 0.293, "especially": 0.293, "exceptionally": 0.293, "extremely": 0.293, "fabulously": 0.293,
-    "fully": 0.293, "greatly": 0.293, "highly": 0.293, "hugely": 0.293, "incredibly": 0.293, "intensely": 0.293, "majorly": 0.293,
-    "more": 0.193, "most": 0.293, "particularly": 0.193, "purely": 0.293, "quite": 0.193, "really": 0.293, "remarkably": 0.293,
-    "so": 0.193, "substantially": 0.293, "thoroughly": 0.293, "totally": 0.293, "tremendously": 0.293, "unbelievably": 0.293,
-    "utterly": 0.293, "very": 0.293, "super": 0.293, "almost": -0.293, "barely": -0.293, "hardly": -0.293, "kinda": -0.293,
-    "kind": -0.150, "less": -0.293, "little": -0.293, "marginally": -0.293, "occasionally": -0.293, "partly": -0.293,
-    "scarcely": -0.293, "slightly": -0.293, "somewhat": -0.293,
-}
+from parlance.functions import lexicons as L
+
+# The constants of the score.
 ALPHA, CAPS, NEGATED = 15.0, 0.733, -0.74
+EXCLAMATION, QUESTION = 0.292, 0.18
+BEFORE_BUT, AFTER_BUT = 0.5, 1.5
 NEAR = (1.0, 0.85, 0.7)
-#: Valences of the words that the demonstration and test lines use. A deployment passes its own lexicon.
-LEXICON = {
-    "awful": -2.7, "bad": -2.5, "best": 3.2, "better": 1.9, "blocked": -1.8, "blocker": -2.0, "broken": -2.3, "crash": -2.4,
-    "delay": -1.8, "disaster": -3.0, "excellent": 2.9, "fail": -2.5, "failed": -2.6, "fantastic": 3.0, "fine": 1.2, "good": 1.9,
-    "great": 2.7, "happy": 2.7, "hate": -3.0, "horrible": -2.9, "issue": -1.4, "love": 3.0, "nice": 1.9,
-    "perfect": 3.0, "problem": -1.9, "risk": -1.6, "sad": -2.4, "slow": -1.6, "solid": 2.0, "stuck": -2.0, "terrible": -2.8,
-    "thanks": 2.2, "wonderful": 2.9, "worried": -2.1, "worse": -2.4, "worst": -3.0, "wrong": -2.2,
-}
-
-_TOKEN = re.compile(r"[A-Za-z']+|[!?]+")
-
-
-def polarity(text: str | None, lexicon: dict[str, float] | None = None) -> tuple[float, float, float, float]:
-    """compound (not rounded), positive, negative, neutral."""
-    lexicon = LEXICON if lexicon is None else lexicon
-    tokens = _TOKEN.findall(text or "")
-    low = [t.lower() for t in tokens]
-    alphabetic = [t for t in tokens if t[0] not in "!?"]
-    loud = [len(t) > 1 and t.isupper() for t in alphabetic]
-    shouting = any(loud) and not all(loud)
-    but = low.index("but") if "but" in low else None
-    values, other = [], 0
-    for i, (token, word) in enumerate(zip(tokens, low, strict=True)):
-        value = lexicon.get(word)
-        if value is None:
-            other += 1
-            continue
-        sign = 1 if value > 0 else -1
-        if shouting and len(token) > 1 and token.isupper():
-            value += CAPS * sign
+TOKEN = r"[A-Za-z']+|[!?]+"
+LABEL_AT = 0.05
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _known(word: Column, values: Mapping[str, float]) -> Column:
+    """The word's value, null without one. Most words have none, which a hash set tells."""
+    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.when(word.isin(list(values)), F.element_at(table, word)) if values else F.lit(None).cast("double")
+
+
+def _values(raw: Column, low: Column, lexicon: Mapping[str, float], negations: list[str], boosters: Mapping[str, float]) -> Column:
+    """array<double>: the valences of the words in the lexicon, in order, with all that changes them."""
+    capitals = F.size(F.filter(raw, lambda t: t.rlike("^[A-Z]{2,}$")))
+    shouting = (capitals > 0) & (capitals < F.size(F.filter(raw, lambda t: t.rlike("^[A-Za-z]+$"))))
+    but = F.array_position(low, "but")
+
+    def value(x: Column) -> Column:
+        at, base = x["at"], x["value"]
+        sign = F.when(base > 0, 1.0).otherwise(-1.0)
+        out = base + F.when(shouting & F.get(raw, at).rlike("^'*[A-Z][A-Z']*$"), CAPS * sign).otherwise(0.0)
         for k, factor in enumerate(NEAR, 1):
-            if i >= k and low[i - k] in BOOSTERS:
-                value += BOOSTERS[low[i - k]] * factor * sign
-        if any(w in NEGATIONS for w in low[max(0, i - 3) : i]):
-            value *= NEGATED
-        if but is not None and i != but:
-            value *= 0.5 if i < but else 1.5
-        values.append(value)
-    if not tokens:
-        return 0.0, 0.0, 0.0, 0.0
-    total = sum(values)
-    marks = "".join(t for t in tokens if t[0] in "!?")
-    stress = 0.292 * min(marks.count("!"), 4) + (0.18 * min(marks.count("?"), 3) if marks.count("?") > 1 else 0)
-    total += stress if total > 0 else -stress if total < 0 else 0
-    compound = max(-1.0, min(1.0, total / math.sqrt(total * total + ALPHA)))
-    up, down = sum(v + 1 for v in values if v > 0), abs(sum(v - 1 for v in values if v < 0))
-    whole = up + down + other
-    return compound, round(up / whole, 4), round(down / whole, 4), round(other / whole, 4)
-
-
-def label_of(compound: float) -> str:
-    return "positive" if compound >= 0.05 else "negative" if compound <= -0.05 else "neutral"
-
-
-def scorer(lexicon: dict[str, float] | None = None):
-    """A column function text -> struct<compound,positive,negative,neutral,label>."""
-
-    @F.pandas_udf("compound double, positive double, negative double, neutral double, label string")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        rows = [polarity(t, lexicon) for t in texts]
-        return pd.DataFrame([(round(c, 4), p, n, u, label_of(c)) for c, p, n, u in rows], columns=["compound", "positive", "negative", "neutral", "label"])
-
-    return score
+            boost = F.when(at >= k, _known(F.get(low, F.greatest(at - k, F.lit(0))), boosters))
+            out = out + F.coalesce(boost * factor, F.lit(0.0)) * sign
+        before = F.slice(low, F.greatest(at - 2, F.lit(1)), F.least(at, F.lit(3)))
+        out = out * F.when(F.exists(before, lambda w: w.isin(negations)), NEGATED).otherwise(1.0)
+        return out * F.when(but == 0, 1.0).when(at + 1 < but, BEFORE_BUT).otherwise(AFTER_BUT)
+
+    hits = F.filter(F.transform(low, lambda w, i: F.struct(i.alias("at"), _known(w, lexicon).alias("value"))), lambda x: x["value"].isNotNull())
+    return F.transform(hits, value)
+
+
+def _score(text: Column, raw: Column, values: Column) -> Column:
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    shouts, asks = F.length(F.regexp_replace(text, "[^!]", "")), F.length(F.regexp_replace(text, "[^?]", ""))
+    stress = F.least(shouts, F.lit(4)) * EXCLAMATION + F.when(asks > 1, F.least(asks, F.lit(3)) * QUESTION).otherwise(0.0)
+    part = lambda keep, one: F.aggregate(F.filter(values, keep), F.lit(0.0), lambda a, v: a + v + one)
+    rest = (F.size(raw) - F.size(values)).cast("double")
+
+    def made(x: Column) -> Column:
+        whole = x["up"] + x["down"] + rest
+        compound = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x["total"] / F.sqrt(x["total"] * x["total"] + ALPHA)))
+        found = F.struct(compound.alias("compound"), (x["up"] / whole).alias("positive"), (x["down"] / whole).alias("negative"), (rest / whole).alias("neutral"))
+        none = F.struct(F.lit(0.0).alias("compound"), F.lit(0.0).alias("positive"), F.lit(0.0).alias("negative"), F.lit(1.0).alias("neutral"))
+        return F.when(F.size(values) > 0, found).otherwise(none)
+
+    sums = F.struct(
+        (total + F.when(total >= 0, stress).otherwise(-stress)).alias("total"),
+        part(lambda v: v > 0, 1.0).alias("up"), F.abs(part(lambda v: v < 0, -1.0)).alias("down"),
+    )
+    return bound(sums, made)
+
+
+def polarity(text: Column, language: str = "en", extra: Mapping[str, float] | None = None) -> Column:
+    """struct<compound,positive,negative,neutral>, not rounded, by the lexicon of a language and extra entries. A text
+    without a word of the lexicon, null and empty ones too, is neutral."""
+    lexicon = dict(L.VALENCES.get(language, {})) | {k.lower(): float(v) for k, v in (extra or {}).items()}
+    negations = L.NEGATIONS.get(language, L.NEGATIONS["en"]).split()
+    boosters = L.BOOSTERS.get(language, L.BOOSTERS["en"])
+    text = F.coalesce(text, F.lit(""))
+
+    def of(raw: Column) -> Column:
+        return bound(F.transform(raw, F.lower), lambda low: bound(_values(raw, low, lexicon, negations, boosters), lambda v: _score(text, raw, v)))
+
+    return bound(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), of)
+
+
+def label(compound: Column) -> Column:
+    return F.when(compound >= LABEL_AT, "positive").when(compound <= -LABEL_AT, "negative").otherwise("neutral")
+
+
+def score(text: Column, language: str | Column = "en", extra: Mapping[str, float] | None = None) -> Column:
+    """struct<compound,positive,negative,neutral,label>, rounded to four digits; the label is of the compound before
+    that. A language column picks the lexicon of each row, English for other codes than those with one."""
+    if isinstance(language, str):
+        found = polarity(text, language, extra)
+    else:
+        found = None
+        for code in L.VALENCES:
+            if code != "en":
+                one = polarity(text, code, extra)
+                found = F.when(language == code, one) if found is None else found.when(language == code, one)
+        found = found.otherwise(polarity(text, "en", extra))
+    four = lambda x, c: F.round(x[c], 4).alias(c)
+    return bound(found, lambda x: F.struct(four(x, "compound"), four(x, "positive"), four(x, "negative"), four(x, "neutral"), label(x["compound"]).alias("label")))

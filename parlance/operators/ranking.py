@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from parlance.functions import text as T
+from parlance.functions.sentiment import bound
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 40, 1e-5
 
@@ -40,24 +41,30 @@ def text_rank(lines: DataFrame, k: int = 5) -> DataFrame:
     both = e.select("session_id", F.col("i").alias("u"), F.col("j").alias("v"), "weight").unionAll(e.select("session_id", F.col("j").alias("u"), F.col("i").alias("v"), "weight"))
     total = both.groupBy("session_id", F.col("u").alias("v")).agg(F.sum("weight").alias("out"))
     inbound = both.join(total, ["session_id", "v"]).groupBy("session_id", F.col("u").alias("position")).agg(F.sum(F.col("weight") / F.col("out")).alias("c"))
-    rows = s.join(inbound, ["session_id", "position"], "left").select("session_id", "position", "sentence", F.coalesce("c", F.lit(0.0)).alias("c"))
-
-    def turn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("position")
-        n, c = len(part), part["c"].to_numpy()
-        x = [1.0 / n] * n if n else []
-        for _ in range(ROUNDS if n > 1 else 0):
-            new = (1 - DAMPING) / n + DAMPING * c * x
-            new = new / new.sum()
-            moved, x = abs(new - x).sum(), new
-            if moved < TOLERANCE:
-                break
-        return part.assign(score=x)[["session_id", "position", "sentence", "score"]]
-
-    kind = dict(lines.dtypes)["session_id"]
-    scored = rows.groupBy("session_id").applyInPandas(turn, f"session_id {kind}, position int, sentence string, score double")
+    rows = s.select("session_id", "position").join(inbound, ["session_id", "position"], "left")
+    places = F.array_sort(F.collect_list(F.struct("position", F.coalesce("c", F.lit(0.0)).alias("c"))))
+    scored = rows.groupBy("session_id").agg(places.alias("p")).select("session_id", F.explode(F.zip_with("p", turned(F.transform("p", lambda q: q["c"])), lambda q, x: F.struct(q["position"].alias("position"), x.alias("score")))).alias("x"))
     best = W.partitionBy("session_id").orderBy(F.desc("score"), "position")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    top = scored.select("session_id", F.col("x.position").alias("position"), F.col("x.score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return top.join(s.select("session_id", "position", "sentence"), ["session_id", "position"]).select("session_id", "position", "sentence", "score", "rank")
+
+
+def turned(c: Column) -> Column:
+    """The scores of a session's sentences from their inbound weights: turns until they move by less than TOLERANCE."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    n = F.size(c)
+    start = F.struct(F.transform(c, lambda _: F.lit(1.0) / n).alias("x"), F.lit(False).alias("done"))
+
+    def step(now: Column, _: Column) -> Column:
+        raw = F.zip_with(c, now["x"], lambda w, x: F.lit(1 - DAMPING) / n + DAMPING * w * x)
+
+        def after(new: Column) -> Column:
+            moved = total(F.zip_with(new, now["x"], lambda a, b: F.abs(a - b)))
+            return F.struct(new.alias("x"), (moved < TOLERANCE).alias("done"))
+
+        return F.when(now["done"] | (n < 2), now).otherwise(bound(raw, lambda r: bound(total(r), lambda t: bound(F.transform(r, lambda x: x / t), after))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda now: now["x"])
 
 
 _SPLIT = re.compile(r"[^^\w'\-]+|[\d_]+")

@@ -22,7 +22,7 @@ class Rule:
     language: str = "en"
 
 
-# The English rules, which always apply, and the Spanish ones.
+# The English rules, which always apply, and those of the other languages.
 RULES = (
     Rule("reminder", "action_item", r"\bremind\s+(?:me|us|him|her|them)\s+to\s+(.+?)(?=[.?!;]|$)", 0.95),
     Rule("assignment", "action_item", r"\b(?:can|could|will|would)\s+you\s+(?:please\s+)?(.+?)(?=[.?!;]|$)", 0.8),
@@ -48,6 +48,34 @@ RULES = (
     Rule("entrega", "deadline", r"\b(?:para|antes del|antes de)\s+(lunes|martes|mi[ée]rcoles|jueves|viernes|s[áa]bado|domingo|ma[ñn]ana|hoy|fin de semana)\b", 0.85, "es"),
     Rule("bloqueo", "blocker", r"\b(?:estoy bloqueado|bloqueado (?:en|por)|atascado en)\s+(.+?)(?=[.?!;]|$)", 0.9, "es"),
     Rule("decision", "decision", r"\b(?:hemos decidido|decidimos)\s+(?:que\s+)?(.+?)(?=[.?!;]|$)", 0.9, "es"),
+    Rule("rappel", "action_item", r"\brappelle[- ]moi\s+(?:de\s+)?(.+?)(?=[.?!;]|$)", 0.95, "fr"),
+    Rule("engagement", "action_item", r"\b(?:je vais|il faut|nous devons|on doit)\s+(.+?)(?=[.?!;]|$)", 0.85, "fr"),
+    Rule("demande", "action_item", r"\b(?:peux-tu|pouvez-vous|pourrais-tu)\s+(?:s'il te pla[îi]t\s+)?(.+?)(?=[.?!;]|$)", 0.8, "fr"),
+    Rule("echeance", "deadline", r"\b(?:date limite|[ée]ch[ée]ance|d[ée]lai)\s+(?:est|était)?\s*(.+?)(?=[.?!;,]|\s+et\b|$)", 0.95, "fr"),
+    Rule("livraison", "deadline", r"\b(?:avant|pour)\s+(lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche|demain|aujourd'hui|la fin de la semaine)\b", 0.85, "fr"),
+    Rule("blocage", "blocker", r"\b(?:je suis bloqu[ée]|bloqu[ée] (?:sur|par)|coinc[ée] sur)\s+(.+?)(?=[.?!;]|$)", 0.9, "fr"),
+    Rule("decision", "decision", r"\b(?:nous avons d[ée]cid[ée]|on a d[ée]cid[ée])\s+(?:de\s+|que\s+)?(.+?)(?=[.?!;]|$)", 0.9, "fr"),
+    Rule("erinnerung", "action_item", r"\berinnere mich\s+(?:daran,?\s+)?(.+?)(?=[.?!;]|$)", 0.95, "de"),
+    Rule("zusage", "action_item", r"\b(?:ich werde|wir m[üu]ssen|ich muss|wir sollten)\s+(.+?)(?=[.?!;]|$)", 0.85, "de"),
+    Rule("bitte", "action_item", r"\b(?:kannst du|k[öo]nnen sie|k[öo]nntest du)\s+(?:bitte\s+)?(.+?)(?=[.?!;]|$)", 0.8, "de"),
+    Rule("frist", "deadline", r"\b(?:frist|deadline|abgabetermin)\s+(?:ist|war)?\s*(.+?)(?=[.?!;,]|\s+und\b|$)", 0.95, "de"),
+    Rule("termin", "deadline", r"\b(?:bis)\s+(montag|dienstag|mittwoch|donnerstag|freitag|samstag|sonntag|morgen|heute|ende der woche)\b", 0.85, "de"),
+    Rule("blocker", "blocker", r"\b(?:ich bin blockiert|blockiert (?:durch|von)|h[äa]nge an)\s+(.+?)(?=[.?!;]|$)", 0.9, "de"),
+    Rule("entscheidung", "decision", r"\bwir haben entschieden,?\s+(?:dass\s+)?(.+?)(?=[.?!;]|$)", 0.9, "de"),
+    Rule("promemoria", "action_item", r"\bricordami\s+(?:di\s+)?(.+?)(?=[.?!;]|$)", 0.95, "it"),
+    Rule("impegno", "action_item", r"\b(?:devo|dobbiamo|bisogna)\s+(.+?)(?=[.?!;]|$)", 0.85, "it"),
+    Rule("richiesta", "action_item", r"\b(?:puoi|potresti|potete)\s+(?:per favore\s+)?(.+?)(?=[.?!;]|$)", 0.8, "it"),
+    Rule("scadenza", "deadline", r"\b(?:scadenza|termine)\s+(?:è|era)?\s*(.+?)(?=[.?!;,]|\s+e\b|$)", 0.95, "it"),
+    Rule("consegna", "deadline", r"\b(?:entro|prima di)\s+(luned[ìi]|marted[ìi]|mercoled[ìi]|gioved[ìi]|venerd[ìi]|sabato|domenica|domani|oggi|fine settimana)\b", 0.85, "it"),
+    Rule("blocco", "blocker", r"\b(?:sono bloccato|bloccato (?:su|da))\s+(.+?)(?=[.?!;]|$)", 0.9, "it"),
+    Rule("decisione", "decision", r"\b(?:abbiamo deciso|si è deciso)\s+(?:di\s+|che\s+)?(.+?)(?=[.?!;]|$)", 0.9, "it"),
+    Rule("lembrete", "action_item", r"\blembre?-?me\s+(?:de\s+)?(.+?)(?=[.?!;]|$)", 0.95, "pt"),
+    Rule("compromisso", "action_item", r"\b(?:vou|precisamos|preciso|temos que)\s+(.+?)(?=[.?!;]|$)", 0.85, "pt"),
+    Rule("pedido", "action_item", r"\b(?:voc[êe] pode|poderia)\s+(?:por favor\s+)?(.+?)(?=[.?!;]|$)", 0.8, "pt"),
+    Rule("prazo", "deadline", r"\b(?:prazo|data limite)\s+(?:é|era)?\s*(.+?)(?=[.?!;,]|\s+e\b|$)", 0.95, "pt"),
+    Rule("entrega", "deadline", r"\b(?:at[ée]|antes de)\s+(segunda|ter[çc]a|quarta|quinta|sexta|s[áa]bado|domingo|amanh[ãa]|hoje|fim de semana)\b", 0.85, "pt"),
+    Rule("bloqueio", "blocker", r"\b(?:estou bloqueado|bloqueado (?:em|por)|travado em)\s+(.+?)(?=[.?!;]|$)", 0.9, "pt"),
+    Rule("decisao", "decision", r"\b(?:decidimos|n[óo]s decidimos)\s+(?:que\s+)?(.+?)(?=[.?!;]|$)", 0.9, "pt"),
 )
 #: Kinds that are stored; the others are only reported with their line.
 STORED = ("action_item", "deadline", "blocker", "decision")
@@ -79,15 +107,21 @@ def hits(line: str | None, rules: Sequence[tuple[Rule, re.Pattern]]) -> list[dic
 
 def extract(lines: DataFrame, rules: Sequence[Rule] = RULES, language: str | None = None) -> DataFrame:
     """lines with text (and the column named by language) -> one row for each hit, with the columns of lines, kind,
-    fragment, rule, start, end, confidence, priority and due. English rules apply to every line."""
+    fragment, rule, start, end, confidence, priority and due. English rules apply to every line. Lines that no pattern
+    finds anything in are left out before Python sees them."""
+    code = F.col(language) if language else F.lit("en")
+    may = None
+    for name in dict.fromkeys(r.language for r in rules):
+        hit = F.col("text").rlike(T.FLAGS + "|".join(f"(?:{r.pattern})" for r in rules if r.language == name))
+        hit = hit if name == "en" else (code == name) & hit
+        may = hit if may is None else may | hit
 
     @F.pandas_udf("array<struct<kind:string,text:string,rule:string,start:int,end:int,confidence:double,whole:string>>")
     def match(texts: pd.Series, codes: pd.Series) -> pd.Series:
         compiled = [(r, re.compile(r.pattern, re.IGNORECASE)) for r in rules]
         return pd.Series([hits(t, [x for x in compiled if x[0].language in ("en", c)]) for t, c in zip(texts, codes, strict=True)])
 
-    code = F.col(language) if language else F.lit("en")
-    found = lines.select("*", F.explode(match("text", code)).alias("hit"))
+    found = (lines if may is None else lines.where(may)).select("*", F.explode(match("text", code)).alias("hit"))
     return found.select(
         *lines.columns, "hit.kind", F.col("hit.text").alias("fragment"), "hit.rule", "hit.start", "hit.end", "hit.confidence",
         T.priority(F.col("hit.whole")).alias("priority"), T.due_date(F.col("hit.whole")).alias("due"),

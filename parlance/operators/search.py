@@ -13,14 +13,22 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def token_table(lines: DataFrame) -> DataFrame:
+    """The inverted index: session_id, seq, word, tf, length. Written once, partitioned or bucketed by word, it serves
+    every search below by a filter on word."""
+    sized = lines.select("session_id", "seq", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    parts = sized.select("session_id", "seq", F.size("words").alias("length"), F.explode("words").alias("word"))
+    return parts.groupBy("session_id", "seq", "length", "word").agg(F.count("*").alias("tf"))
+
+
 def tf_idf(lines: DataFrame, query: list[str], k: int = 20) -> DataFrame:
     """Sum over the query's words in a line of ln(1 + N / lines with it); whole words, a repeated one counts again."""
-    n = lines.count()
-    found = lines.select("session_id", "seq", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    times = lines.sparkSession.createDataFrame([(w, query.count(w)) for w in dict.fromkeys(query)], "word string, times int")
-    found = found.join(F.broadcast(times), "word")
-    df = found.groupBy("word").agg(F.count("*").alias("df"))
-    score = F.sum(F.col("times") * F.log1p(F.lit(float(n)) / F.col("df")))
+    n = lines.agg(F.count("*").cast("double").alias("total"))
+    wanted = list(dict.fromkeys(query))
+    found = lines.select("session_id", "seq", F.explode(F.array_intersect(words(F.col("text")), F.array(*map(F.lit, wanted)))).alias("word"))
+    times = F.create_map(*[F.lit(x) for w in wanted for x in (w, query.count(w))])
+    df = found.groupBy("word").agg(F.count("*").alias("df")).crossJoin(n)  # a row for each word of the query, and one row
+    score = F.sum(F.element_at(times, F.col("word")) * F.log1p(F.col("total") / F.col("df")))
     return ranked(found.join(F.broadcast(df), "word").groupBy("session_id", "seq").agg(score.alias("score")), k)
 
 

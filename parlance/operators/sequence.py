@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from parlance.functions import text as T
+from parlance.functions.sentiment import bound
 
 WINDOW = 12
 MIN_CUE = 0.4
@@ -19,20 +20,23 @@ def by_session() -> W:
 def rolling(lines: DataFrame, value: str = "compound", window: int = WINDOW) -> DataFrame:
     """lines with rolling (mean of the last scored values) and momentum (newer half's mean less the older half's, 0
     below four values). Lines without a value carry the last ones on."""
-    scored = lines.where(F.col(value).isNotNull())
-    frame = by_session().rowsBetween(-(max(2, window) - 1), 0)
-    recent = F.collect_list(value).over(frame)
-    n = F.size("recent")
-    half = F.floor(n / 2).cast("int")
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
-    newer, older = F.slice("recent", half + 1, n - half), F.slice("recent", F.lit(1), half)
-    momentum = F.when(n < 4, 0.0).otherwise(mean(newer) - mean(older))
-    rated = scored.withColumn("recent", recent).select("session_id", "seq", mean(F.col("recent")).alias("rolling"), momentum.alias("momentum"))
-    carried = by_session().rowsBetween(W.unboundedPreceding, 0)
-    out = lines.join(rated, ["session_id", "seq"], "left")
-    for c in ("rolling", "momentum"):
-        out = out.withColumn(c, F.coalesce(F.last(c, ignorenulls=True).over(carried), F.lit(0.0)))
-    return out
+    size = max(2, window)
+    so_far = by_session().rowsBetween(W.unboundedPreceding, 0)
+    rated = lines.withColumn("_nth", F.count(value).over(so_far))
+    # a line without a value has the number of the last one with a value, so the frame has that one's values
+    frame = W.partitionBy("session_id").orderBy("_nth").rangeBetween(-(size - 1), 0)
+    rated = rated.withColumn("_recent", F.collect_list(F.when(F.col(value).isNotNull(), F.struct("seq", F.col(value).cast("double").alias("v")))).over(frame))
+    values = F.transform(F.array_sort("_recent"), lambda x: x["v"])
+
+    def both(recent: Column) -> Column:
+        n = F.size(recent)
+        half = F.floor(n / 2).cast("int")
+        mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.greatest(F.size(a), F.lit(1))
+        newer, older = F.slice(recent, half + 1, n - half), F.slice(recent, F.lit(1), half)
+        return F.struct(mean(recent).alias("rolling"), F.when(n < 4, 0.0).otherwise(mean(newer) - mean(older)).alias("momentum"))
+
+    out = rated.withColumn("_both", bound(values, both))
+    return out.select(*[F.col(f"`{c}`") for c in lines.columns], "_both.rolling", "_both.momentum")
 
 
 def cues(lines: DataFrame, least: float = MIN_CUE, origin: Column | None = None) -> DataFrame:

@@ -10,33 +10,9 @@ from parlance.functions import language as L
 from parlance.functions import sentiment as S
 from parlance.functions import text as T
 from parlance.operators import entities, exports, insights, ranking, redaction, rules, search, sequence, store
+from parlance.plans.registry import _LINES, _TIMED, QUERIES, SQL, lines, query
 from parlance.sources import transcripts as src
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-_LINES = "WITH lines AS (" + src.TEMPLATED.replace("AS STRING", "AS VARCHAR") + ")"
-_TIMED = (
-    _LINES
-    + """, timed AS (SELECT *, before * 0.9 AS started_at, before + audio_seconds AS ended_at FROM (
-  SELECT *, coalesce(sum(audio_seconds) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before FROM lines))"""
-)
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.templated(spark, sf_dir)
-
-
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored hits of the deadline, reminder, blocker and decision rules, with a made-up status."""
     found = None
@@ -184,7 +160,7 @@ def rule_hits(spark, sf_dir):
 
 @query()
 def sentiment_lines(spark, sf_dir):
-    scored = lines(spark, sf_dir).select("session_id", "seq", S.scorer()("text").alias("s")).select("session_id", "seq", "s.*")
+    scored = lines(spark, sf_dir).select("session_id", "seq", S.score(F.col("text")).alias("s")).select("session_id", "seq", "s.*")
     return sequence.rolling(scored)
 
 
@@ -209,7 +185,7 @@ def session_relative_time(spark, sf_dir):
 
 @query()
 def topic_shifts(spark, sf_dir):
-    return sequence.topic_shifts(src.conversations(spark, sf_dir), window=2, threshold=0.5)
+    return sequence.topic_shifts(src.conversations(spark, sf_dir), window=2, threshold=0.5).withColumn("similarity", F.round("similarity", 8))
 
 
 @query(
@@ -240,7 +216,7 @@ def bm25_search(spark, sf_dir):
 
 @query()
 def textrank_top(spark, sf_dir):
-    return ranking.text_rank(src.conversations(spark, sf_dir))
+    return ranking.text_rank(src.conversations(spark, sf_dir)).withColumn("score", F.round("score", 8))
 
 
 @query()
@@ -250,13 +226,13 @@ def rake_top(spark, sf_dir):
 
 @query()
 def detect_language(spark, sf_dir):
-    return src.read(spark, sf_dir, "documents").select("doc_id", "lang", L.detect(F.col("text")).alias("g")).select("doc_id", "lang", "g.code", "g.confidence")
+    return src.read(spark, sf_dir, "documents").select("doc_id", "lang", L.detect(F.col("text")).alias("g")).select("doc_id", "lang", "g.code", F.round("g.confidence", 8).alias("confidence"))
 
 
 @query()
 def sticky_language(spark, sf_dir):
     said = src.conversations(spark, sf_dir).select("session_id", "seq", L.detect(F.col("text")).alias("g")).select("session_id", "seq", "g.*")
-    return L.sticky(said)
+    return L.sticky(said).withColumn("confidence", F.round("confidence", 8))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
@@ -305,3 +281,6 @@ def open_commitments(spark, sf_dir):
 @query()
 def recurring_commitments(spark, sf_dir):
     return insights.recurring_items(_reported(spark, sf_dir))
+
+
+from parlance.plans import analytics, stored  # noqa: E402, F401  (they register theirs)

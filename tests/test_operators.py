@@ -31,10 +31,67 @@ def test_rules(spark):
     assert all(text[r.start : r.end].strip() == r.fragment for r in got) and got[0].due == "friday"
 
 
+def _polarity(spark, *texts, language="en", extra=None):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = frame.select("i", S.polarity(F.col("t"), language, extra).alias("p"), S.score(F.col("t"), language, extra).alias("s")).orderBy("i").collect()
+    return [r.p for r in rows], [r.s for r in rows]
+
+
 def test_sentiment(spark):
-    assert S.polarity("not good")[0] < 0 < S.polarity("good")[0] < S.polarity("very good!")[0]
-    assert S.polarity("") == (0.0, 0.0, 0.0, 0.0) and S.label_of(S.polarity("fine but terrible")[0]) == "negative"
-    assert S.polarity("good")[0] == pytest.approx(1.9 / math.sqrt(1.9**2 + 15))
+    p, s = _polarity(spark, "not good", "good", "very good!", "", None, "fine but terrible", "It's GREAT", "good! bad!", "GOOD", "the GOOD end")
+    assert p[0].compound < 0 < p[1].compound < p[2].compound
+    for i in (3, 4):
+        assert tuple(s[i]) == (0.0, 0.0, 0.0, 1.0, "neutral")
+    assert s[5].label == "negative"
+    assert p[1].compound == pytest.approx(1.9 / math.sqrt(1.9**2 + 15))
+    assert s[6].compound == 0.5719  # a word with an apostrophe is no reason to call it shouting
+    x = 1.9 - 2.5 - 2 * 0.292
+    assert p[7].compound == pytest.approx(x / math.sqrt(x * x + 15))
+    assert p[8].compound == pytest.approx(p[1].compound) and p[9].compound > p[8].compound
+
+
+def test_sentiment_against_a_plain_loop(spark):
+    import random
+    import re
+
+    from parlance.functions import lexicons as L
+
+    rng = random.Random(3)
+    pool = [*rng.sample(list(L.VALENCES["en"]), 12), "very", "slightly", "not", "never", "but", "but", "don't", "the", "it's", "I", "zzz", "!", "?", "?!", "..."]
+    texts = [" ".join(w.upper() if rng.random() < 0.2 else w for w in rng.choices(pool, k=rng.randint(0, 14))) for _ in range(300)]
+
+    def loop(text):
+        raw = re.findall(r"[A-Za-z']+|[!?]+", text)
+        low = [t.lower() for t in raw]
+        capitals = [t for t in raw if t.isalpha() and t.isupper() and len(t) > 1]
+        loud = 0 < len(capitals) < sum(t.isalpha() for t in raw)
+        found = []
+        for i, w in enumerate(low):
+            v = L.VALENCES["en"].get(w)
+            if v is not None:
+                sign = 1 if v > 0 else -1
+                v += 0.733 * sign * (loud and raw[i].isupper())
+                v += sum(sign * L.BOOSTERS["en"].get(low[i - d], 0) * f for d, f in ((1, 1.0), (2, 0.85), (3, 0.7)) if i >= d)
+                v *= -0.74 if set(low[max(0, i - 3) : i]) & set(L.NEGATIONS["en"].split()) else 1
+                v *= 1 if "but" not in low else 0.5 if i < low.index("but") else 1.5
+                found.append(v)
+        if not found:
+            return 0.0
+        x = sum(found)
+        marks = 0.292 * min(text.count("!"), 4) + (0.18 * min(text.count("?"), 3) if text.count("?") > 1 else 0)
+        x += marks if x >= 0 else -marks
+        return x / math.sqrt(x * x + 15)
+
+    p, _ = _polarity(spark, *texts)
+    assert [r.compound for r in p] == pytest.approx([loop(t) for t in texts])
+
+
+def test_sentiment_of_other_languages(spark):
+    p, _ = _polarity(spark, "muy bueno", "no es bueno", language="es", extra={"Es": 0.0})
+    assert p[0].compound > 0 > p[1].compound
+    frame = spark.createDataFrame([("es", "bueno"), ("fr", "mauvais"), ("en", "good"), ("xx", "good"), (None, "bad")], "code string, t string")
+    rows = frame.select("code", S.score(F.col("t"), F.col("code")).alias("s")).collect()
+    assert [r.s.label for r in rows] == ["positive", "negative", "positive", "positive", "negative"]
 
 
 def test_language(spark):
