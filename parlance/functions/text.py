@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parlance.functions import lexicons
+
 # Stop words, filler words and phrases, priority hints and date patterns.
 STOPWORDS = """
     a about above after again against all am an and any are aren't as at be because been before
@@ -54,12 +56,17 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def tokens(text: Column, drop_stopwords: bool = False) -> Column:
+def stopwords(language: str = "en") -> list[str]:
+    """The English stop words and the language's own."""
+    return list(dict.fromkeys([*STOPWORDS, *lexicons.STOPWORDS.get(language, "").split()]))
+
+
+def tokens(text: Column, drop_stopwords: bool = False, language: str = "en") -> Column:
     """Runs of two letters or more, in lower case."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\W\d_][^\W\d_'\-]+"), F.lit(0))
     if not drop_stopwords:
         return found
-    return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(STOPWORDS))
+    return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(stopwords(language)))
 
 
 def sentences(text: Column) -> Column:

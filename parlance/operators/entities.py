@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Label, kind, pattern and the group that is the entity, in order of precedence.
@@ -49,17 +49,22 @@ def find(text: str | None) -> list[dict]:
     return sorted(taken, key=lambda t: t["start"])
 
 
-def extract(lines: DataFrame) -> DataFrame:
-    """lines with text -> one row for each entity: the other columns of lines, entity, label, kind, start, end.
-
-    Lines without a capital letter, an address or an amount are dropped before Python sees them.
-    """
+def matched(text: Column) -> Column:
+    """SCHEMA of a text."""
 
     @F.pandas_udf(SCHEMA)
     def match(texts: pd.Series) -> pd.Series:
         return pd.Series([find(t) for t in texts])
 
+    return match(text)
+
+
+def extract(lines: DataFrame) -> DataFrame:
+    """lines with text -> one row for each entity: the other columns of lines, entity, label, kind, start, end.
+
+    Lines without a capital letter, an address or an amount are dropped before Python sees them.
+    """
     likely = lines.where(F.col("text").rlike(r"[A-Z$€£%@]|://|(?i:percent)"))
     others = [F.col(f"`{c}`") for c in lines.columns if c != "text"]
-    found = likely.select("*", F.explode(match("text")).alias("_hit"))
+    found = likely.select("*", F.explode(matched(F.col("text"))).alias("_hit"))
     return found.select(*others, F.col("_hit.text").alias("entity"), "_hit.label", F.col("_hit.kind").alias("kind"), "_hit.start", "_hit.end")

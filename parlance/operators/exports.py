@@ -87,3 +87,31 @@ def write(found: DataFrame, path: str) -> None:
     """blocks as text files, a folder for each session, in the order of n."""
     ordered = found.repartition("session_id").sortWithinPartitions("session_id", "n")
     ordered.select("session_id", "block").write.mode("overwrite").partitionBy("session_id").option("lineSep", "").text(path)
+
+
+def session_documents(sessions: DataFrame, lines: DataFrame, actions: DataFrame, entities: DataFrame) -> DataFrame:
+    """session_id, content: a JSON document for each session with its lines, actions, speakers and entities."""
+    from parlance.operators import store
+
+    def gathered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+        fields = F.struct(*order, F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "session_id"]).alias("_row"))
+        return rows.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(fields)), lambda x: x["_row"]).alias(name))
+
+    out = sessions
+    for part in (
+        gathered(lines, "transcript", "seq"), gathered(store.speaker_totals(lines), "speakers", "rank"),
+        gathered(actions.withColumn("urgent", -F.col("priority")), "actions", "urgent", "created_at", "id"), store.entity_map(entities),
+    ):
+        out = out.join(part, "session_id", "left")
+    session = F.struct(*[F.col(f"`{c}`") for c in sessions.columns]).alias("session")
+    return out.select("session_id", F.to_json(F.struct(session, "transcript", "actions", "speakers", "entities")).alias("content"))
+
+
+SUFFIX = {"srt": ".srt", "vtt": ".vtt", "txt": ".txt", "md": ".md", "json": ".json"}
+
+
+def write_documents(found: DataFrame, folder: str, form: str) -> None:
+    """documents (session_id, content) as files of one form below folder, a folder for each session."""
+    if form not in SUFFIX:
+        raise ValueError(f"unknown format {form!r}; known: {', '.join(sorted(SUFFIX))}")
+    found.select("session_id", "content").write.mode("overwrite").partitionBy("session_id").option("lineSep", "").text(f"{folder}/{form}")

@@ -82,3 +82,39 @@ def recurring_items(actions: DataFrame, least_sessions: int = 2, limit: int = 40
         F.array_sort(F.collect_set("session_name")).alias("sessions"), F.array_sort(F.collect_set("text")).alias("variants"),
     )
     return out.where(F.size("sessions") >= least_sessions).orderBy(F.desc(F.size("sessions")), F.desc("occurrences"), "leader").drop("leader")
+
+
+def review(sessions: DataFrame, lines: DataFrame, actions: DataFrame, entities: DataFrame, as_of: float, newest: int = 20, people: int = 8) -> dict[str, DataFrame]:
+    """Across sessions: sessions (the newest, with their figures), open_items, recurring, people (most often named),
+    sentiment_trend (oldest of the newest first). lines have compound; actions are as in open_items()."""
+    from parlance.operators import store
+
+    order = (F.desc_nulls_last("started_at"), F.col("session_id"))
+    summed = store.scored_summaries(sessions, lines).orderBy(*order).limit(newest)
+    trend = summed.select("session_id", F.coalesce("name", F.col("session_id").cast("string")).alias("name"), "utterances", F.coalesce("average_sentiment", F.lit(0.0)).alias("average_sentiment"), "started_at")
+    place = F.row_number().over(W.orderBy(F.asc_nulls_first("started_at"), F.desc("session_id")))
+    return {
+        "sessions": summed, "open_items": open_items(actions, as_of), "recurring": recurring_items(actions),
+        "people": store.ranked_entities(entities, "person", people), "sentiment_trend": trend.withColumn("place", place),
+    }
+
+
+def review_markdown(parts: dict[str, DataFrame]) -> str:
+    """The page of a review(); its parts are bounded reports, so they are collected."""
+    found = {name: df.collect() for name, df in parts.items()}
+    items = found["open_items"]
+    out = ["# Across your sessions", "", f"{len(found['sessions'])} session(s) · {len(items)} open item(s) · {sum(r.stale for r in items)} older than {STALE_DAYS:.0f} days", "", "## Still open", ""]
+    for r in items:
+        kind = "" if r.kind == "action_item" else r.kind.replace("_", " ") + ": "
+        more = (f" · due {r.due}" if r.due else "") + (f" · raised {r.occurrences}x" if r.occurrences > 1 else "")
+        out.append(f"- [ ] {kind}{r.text}{more} _({r.session_name or r.session_id}, {r.age_days:.0f}d ago)_" + (" **stale**" if r.stale else ""))
+    if not items:
+        out.append("- nothing outstanding")
+    if found["recurring"]:
+        out += ["", "## Keeps coming up", "", *(f"- {r.text} — {r.occurrences} times across {len(r.sessions)} sessions" for r in found["recurring"])]
+    if found["people"]:
+        out += ["", "## Named most often", "", *(f"- {r.text} · {r.mentions} mentions in {r.sessions} sessions" for r in sorted(found["people"], key=lambda r: r["rank"]))]
+    if found["sentiment_trend"]:
+        out += ["", "## Mood by session", "", "| session | utterances | sentiment |", "| --- | --- | --- |"]
+        out += [f"| {r.name} | {r.utterances} | {r.average_sentiment:+.2f} |" for r in sorted(found["sentiment_trend"], key=lambda r: r.place)]
+    return "\n".join([*out, ""])

@@ -15,11 +15,11 @@ from parlance.functions.sentiment import bound
 DAMPING, ROUNDS, TOLERANCE = 0.85, 40, 1e-5
 
 
-def sentence_table(lines: DataFrame) -> DataFrame:
+def sentence_table(lines: DataFrame, language: str = "en") -> DataFrame:
     """session_id, position, sentence, words of all sentences, numbered along the session."""
     parts = lines.select("session_id", "seq", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence"))
     order = W.partitionBy("session_id").orderBy("seq", "i")
-    return parts.select("session_id", (F.row_number().over(order) - 1).alias("position"), "sentence", T.tokens(F.col("sentence"), True).alias("words"))
+    return parts.select("session_id", (F.row_number().over(order) - 1).alias("position"), "sentence", T.tokens(F.col("sentence"), True, language).alias("words"))
 
 
 def edges(sentences: DataFrame) -> DataFrame:
@@ -33,10 +33,10 @@ def edges(sentences: DataFrame) -> DataFrame:
     return met.select("session_id", "i", "j", weight.alias("weight"))
 
 
-def text_rank(lines: DataFrame, k: int = 5) -> DataFrame:
+def text_rank(lines: DataFrame, k: int = 5, language: str = "en") -> DataFrame:
     """session_id, position, sentence, score, rank of the k best sentences. A sentence's inbound weight c (each edge
     over its other end's total) is fixed, and scores turn by x = (1 - d) / n + d * c * x, scaled to sum 1 each turn."""
-    s = sentence_table(lines)
+    s = sentence_table(lines, language)
     e = edges(s)
     both = e.select("session_id", F.col("i").alias("u"), F.col("j").alias("v"), "weight").unionAll(e.select("session_id", F.col("j").alias("u"), F.col("i").alias("v"), "weight"))
     total = both.groupBy("session_id", F.col("u").alias("v")).agg(F.sum("weight").alias("out"))
@@ -69,14 +69,13 @@ def turned(c: Column) -> Column:
 
 _SPLIT = re.compile(r"[^^\w'\-]+|[\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-_FILLER = {"um", "uh", "erm", "hmm", "mm", "ah", "eh", "like", "yeah", "okay"}
+_FILLER = frozenset({"um", "uh", "erm", "hmm", "mm", "ah", "eh", "like", "yeah", "okay"})
 
 
-def phrases(text: str | None) -> list[list[str]]:
+def phrases(text: str | None, stop: frozenset[str] = frozenset(T.STOPWORDS) | _FILLER) -> list[list[str]]:
     """Runs of words of three letters or more between sentence ends, stop words, fillers and digits; a run is cut
     after each four words."""
     out, run = [], []
-    stop = set(T.STOPWORDS) | _FILLER
     for sentence in _SENTENCE.split(text or ""):
         for piece in [*_SPLIT.split(sentence.strip()), ""]:
             piece = piece.lower()
@@ -89,12 +88,14 @@ def phrases(text: str | None) -> list[list[str]]:
     return out
 
 
-def rake(lines: DataFrame, k: int = 12) -> DataFrame:
+def rake(lines: DataFrame, k: int = 12, language: str = "en") -> DataFrame:
     """session_id, phrase, score, occurrences, rank: the sum over a phrase's words of (degree + frequency) / frequency."""
 
+    stop = frozenset(T.stopwords(language)) | _FILLER
+
     @F.pandas_udf("array<array<string>>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(phrases)
+        return texts.map(lambda t: phrases(t, stop))
 
     found = lines.select("session_id", F.explode(split("text")).alias("words"))
     found = found.groupBy("session_id", "words").agg(F.count("*").alias("n"))

@@ -87,3 +87,63 @@ def redact(
     text = F.when(F.size(F.coalesce("_pieces", F.array())) > 0, _splice(F.col(column), F.col("_pieces"))).otherwise(F.col(column))
     n = F.when(F.col("_pieces").isNull(), 0).otherwise(F.size("_pieces"))
     return found.withColumn("n_redacted", n).withColumn(column, text).select(*lines.columns, "n_redacted")
+
+
+def redact_together(
+    tables: dict[str, tuple[DataFrame, Sequence[str], Sequence[str]]], kinds: Sequence[str] = DEFAULT_KINDS, scope: Sequence[str] = ("session_id",),
+) -> dict[str, DataFrame]:
+    """Several tables under one set of pseudonyms: {name: (rows, columns to redact, columns that order its rows)} -> the
+    same tables with these columns redacted.
+
+    Values are numbered, by kind and scope, as they first come, tables and columns in the order given. Every column
+    is one pass over its texts; the pseudonyms are one table that all of them are joined with.
+    """
+
+    @F.pandas_udf(SCHEMA)
+    def match(texts: pd.Series) -> pd.Series:
+        return pd.Series([spans(t, kinds) for t in texts])
+
+    key = lambda v: F.lower(F.trim(v))
+    each, marked = None, {}
+    for t, (name, (rows, columns, order)) in enumerate(tables.items()):
+        marked[name] = rows.withColumns({f"_spans_{i}": match(F.col(c)) for i, c in enumerate(columns)})
+        for i in range(len(columns)):
+            place = F.struct(F.lit(t).alias("t"), F.concat_ws("\x1f", *[F.lpad(F.col(o).cast("string"), 20, "0") for o in order]).alias("o"), F.lit(i).alias("i"))
+            part = marked[name].where(F.size(f"_spans_{i}") > 0).select(*scope, place.alias("place"), F.explode(f"_spans_{i}").alias("p"))
+            part = part.select(*scope, "p.kind", key(F.col("p.value")).alias("key"), F.struct("place", "p.start").alias("at"))
+            each = part if each is None else each.unionByName(part)
+    first = each.groupBy(*scope, "kind", "key").agg(F.min("at").alias("first"))
+    number = F.row_number().over(W.partitionBy(*scope, "kind").orderBy("first"))
+    alias = F.concat(F.lit("["), F.upper("kind"), F.lit("_"), number.cast("string"), F.lit("]"))
+    # the pseudonyms of a scope travel as one map to its rows
+    names = first.select(*scope, F.concat_ws("\x1f", "kind", "key").alias("key"), alias.alias("alias"))
+    names = names.groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct("key", "alias"))).alias("_names"))
+    out = {}
+    for name, (rows, columns, _) in tables.items():
+        done = marked[name].join(names, list(scope), "left")
+        for i, c in enumerate(columns):
+            pieces = F.transform(f"_spans_{i}", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.element_at("_names", F.concat_ws("\x1f", p["kind"], key(p["value"]))).alias("alias")))
+            done = done.withColumn(c, F.when(F.size(f"_spans_{i}") > 0, _splice(F.col(c), pieces)).otherwise(F.col(c)))
+        out[name] = done.select(*rows.columns)
+    return out
+
+
+def removals(lines: DataFrame, kinds: Sequence[str] = DEFAULT_KINDS, column: str = "text") -> DataFrame:
+    """What redact() takes out of column: the other columns, kind, start, end, length, never the value."""
+
+    @F.pandas_udf(SCHEMA)
+    def match(texts: pd.Series) -> pd.Series:
+        return pd.Series([spans(t, kinds) for t in texts])
+
+    others = [F.col(f"`{c}`") for c in lines.columns if c != column]
+    found = lines.select(*others, F.explode(match(F.col(column))).alias("_p"))
+    return found.select(*others, "_p.kind", "_p.start", "_p.end", (F.col("_p.end") - F.col("_p.start")).alias("length"))
+
+
+def counts(lines: DataFrame, kinds: Sequence[str] = DEFAULT_KINDS, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    return removals(lines, kinds).groupBy(*by, "kind").agg(F.count("*").alias("removed"))
+
+
+def merged_counts(entity_counts: DataFrame) -> DataFrame:
+    """Counts (session_id, kind, text, n) of redacted entities: those that share an alias are one."""
+    return entity_counts.groupBy("session_id", "kind", "text").agg(F.sum("n").alias("n"))

@@ -105,6 +105,18 @@ def hits(line: str | None, rules: Sequence[tuple[Rule, re.Pattern]]) -> list[dic
     return [h for i, h in enumerate(found) if not hidden(i)]
 
 
+def matched(text: Column, language: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """array<struct<kind,text,rule,start,end,confidence,priority,due>> of a text; English rules and the language's."""
+
+    @F.pandas_udf("array<struct<kind:string,text:string,rule:string,start:int,end:int,confidence:double,whole:string>>")
+    def match(texts: pd.Series, codes: pd.Series) -> pd.Series:
+        compiled = [(r, re.compile(r.pattern, re.IGNORECASE)) for r in rules]
+        return pd.Series([hits(t, [x for x in compiled if x[0].language in ("en", c)]) for t, c in zip(texts, codes, strict=True)])
+
+    whole = lambda h: F.struct(*[h[c].alias(c) for c in ("kind", "text", "rule", "start", "end", "confidence")], T.priority(h["whole"]).alias("priority"), T.due_date(h["whole"]).alias("due"))
+    return F.transform(match(text, language), whole)
+
+
 def extract(lines: DataFrame, rules: Sequence[Rule] = RULES, language: str | None = None) -> DataFrame:
     """lines with text (and the column named by language) -> one row for each hit, with the columns of lines, kind,
     fragment, rule, start, end, confidence, priority and due. English rules apply to every line. Lines that no pattern

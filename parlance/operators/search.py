@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from parlance.functions import text as T
+
 K1, B = 1.2, 0.75
 
 
@@ -60,3 +62,39 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     top = hits.orderBy(*order).limit(k)
     best = F.max("score").over(W.partitionBy())
     return top.select("session_id", "seq", "score", F.when(best > 0, F.col("score") / best).otherwise(1.0).alias("relevance"), F.row_number().over(W.orderBy(*order)).alias("rank"))
+
+
+def search_sessions(lines: DataFrame, sessions: DataFrame, query: str, k: int = 20, without: str | None = None) -> DataFrame:
+    """bm25() of a query as typed over all sessions: every word a prefix, quotes taken off, with the session's name and
+    the line marked. without leaves the session at hand out. An empty query finds nothing."""
+    terms = query_terms(query)
+    pool = lines if without is None else lines.where(F.col("session_id") != without)
+    hits = bm25(pool, terms, k) if terms else bm25(pool.limit(0), ["x"], k)
+    named = hits.join(lines.select("session_id", "seq", "text"), ["session_id", "seq"])
+    named = named.join(F.broadcast(sessions.select("session_id", F.col("name").alias("session_name"))), "session_id", "left") if sessions is not None else named
+    return named.withColumn("marked", T.highlight(F.col("text"), terms)).withColumn("snippet", snippet(F.col("text"), terms))
+
+
+def search_session(lines: DataFrame, session_id, query: str, k: int = 20) -> DataFrame:
+    """Lines of one session with every word of the query, by BM25; if none has, those with any, by TF-IDF."""
+    mine = lines.where(F.col("session_id") == session_id)
+    terms = query_terms(query)
+    hits = bm25(mine, terms, k) if terms else None
+    if hits is None or not hits.isEmpty():
+        return bm25(mine.limit(0), ["x"], k) if hits is None else hits
+    return tf_idf(mine, [t for t in terms if t], k)
+
+
+def query_terms(query: str) -> list[str]:
+    found = [t.replace('"', "").lower() for t in query.split()]
+    return [t for t in found if t]
+
+
+def snippet(text: Column, terms: list[str], size: int = 12) -> Column:
+    """The first `size` words from the first one that begins with a term, each such word marked."""
+    said = F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " ")
+    hit = lambda w: F.exists(F.array(*map(F.lit, terms)), lambda t: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+", "")).startswith(t)) if terms else F.lit(False)
+    first = F.coalesce(F.get(F.filter(F.transform(said, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull()), F.lit(0)), F.lit(0))
+    begin = F.greatest(F.lit(0), F.least(first, F.size(said) - size))
+    shown = F.transform(F.slice(said, begin + 1, size), lambda w: F.when(hit(w), F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
+    return F.concat(F.when(begin > 0, "…").otherwise(""), F.array_join(shown, " "), F.when(begin + size < F.size(said), "…").otherwise(""))
