@@ -124,11 +124,11 @@ def change_point(samples: np.ndarray, rate: int = RATE, window: float = 0.8, hop
 
 
 def two_voices(seconds: float = 2.0, rate: int = RATE, seed: int = 11) -> np.ndarray:
-    """Two made-up voices, one after the other: harmonics of 110 and 240 Hz in differing strengths, a little noise."""
+    """Two made-up voices, one after the other: harmonics of 170 and 240 Hz in differing strengths, a little noise."""
     t = np.arange(int(seconds * rate)) / rate
     rng = np.random.default_rng(seed)
     parts = []
-    for base, fall in ((110.0, 1.2), (240.0, 0.4)):
-        voice = sum(np.sin(2 * np.pi * base * k * t) / k**fall for k in range(1, 12))
+    for base, fall, last in ((170.0, 1.6, 5), (240.0, 0.4, 11)):
+        voice = sum(np.sin(2 * np.pi * base * k * t) / k**fall for k in range(1, last + 1))
         parts.append(0.3 * voice / np.abs(voice).max() + 0.002 * rng.standard_normal(len(t)))
     return np.concatenate(parts).astype(np.float32)

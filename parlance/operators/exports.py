@@ -83,10 +83,15 @@ def document(found: DataFrame) -> DataFrame:
     return found.groupBy("session_id").agg(F.array_join(F.transform(rows, lambda r: r["block"]), "").alias("content"))
 
 
+def _line(column: str) -> Column:
+    """The writer ends what it writes with a line feed, so the one at the end goes."""
+    return F.regexp_replace(column, r"\n\z", "").alias(column)
+
+
 def write(found: DataFrame, path: str) -> None:
     """blocks as text files, a folder for each session, in the order of n."""
     ordered = found.repartition("session_id").sortWithinPartitions("session_id", "n")
-    ordered.select("session_id", "block").write.mode("overwrite").partitionBy("session_id").option("lineSep", "").text(path)
+    ordered.select("session_id", _line("block")).write.mode("overwrite").partitionBy("session_id").text(path)
 
 
 def session_documents(sessions: DataFrame, lines: DataFrame, actions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -114,4 +119,4 @@ def write_documents(found: DataFrame, folder: str, form: str) -> None:
     """documents (session_id, content) as files of one form below folder, a folder for each session."""
     if form not in SUFFIX:
         raise ValueError(f"unknown format {form!r}; known: {', '.join(sorted(SUFFIX))}")
-    found.select("session_id", "content").write.mode("overwrite").partitionBy("session_id").option("lineSep", "").text(f"{folder}/{form}")
+    found.select("session_id", _line("content")).write.mode("overwrite").partitionBy("session_id").text(f"{folder}/{form}")

@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 RATE = 16_000
 
 
-def discover(spark: SparkSession, folder: str) -> DataFrame:
-    """path, content of all .wav files below folder, whatever the case of the suffix."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{wav,WAV,Wav}").load(folder)
-    return found.select("path", "length", "content")
+def discover(spark: SparkSession, target: str) -> DataFrame:
+    """path, length, content of a .wav file, or of all below a folder, whatever the case of the suffix, by path; a
+    target that is not there gives none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "path string, length long, content binary")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[wW][aA][vV]").load(target)
+    return found.select("path", "length", "content").orderBy("path")
 
 
 def decode(content: bytes, rate: int = RATE) -> np.ndarray:

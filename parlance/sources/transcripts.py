@@ -54,9 +54,10 @@ def sessions(lines: DataFrame) -> DataFrame:
     )
 
 
-def text_lines(spark: SparkSession, path: str, session_id: str) -> DataFrame:
-    """Lines of text files as one session's transcript, numbered in file and line order, blank lines left out."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    lines = lines.where(F.trim("value") != "")
-    order = W.partitionBy(F.lit(session_id)).orderBy("file", "at")
-    return lines.select(F.lit(session_id).alias("session_id"), F.row_number().over(order).cast("int").alias("seq"), F.col("value").alias("text"))
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files as transcripts, a session for each file, blank lines left out. A file is one row as it is
+    read, so that its lines keep their order wherever they are dealt."""
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("session_id"), "value")
+    lines = files.select("session_id", F.posexplode(F.split("value", r"\r\n|[\r\n]")).alias("at", "text")).where(F.trim("text") != "")
+    order = W.partitionBy("session_id").orderBy("at")
+    return lines.select("session_id", F.row_number().over(order).cast("int").alias("seq"), F.trim("text").alias("text"))
