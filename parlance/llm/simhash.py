@@ -33,6 +33,9 @@ NEIGHBOURS = 64
 #: Fingerprints that an average group should hold at most; decides into how many blocks the bits are cut.
 GROUP_AIM = 256
 
+#: Hashes of a text whose bits are counted at once.
+STEP = 255 * 16
+
 _ALL = 0xFFFFFFFFFFFFFFFF
 
 
@@ -52,32 +55,36 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], "<u8")
 
 
-def majority(hashes: np.ndarray) -> int:
-    """Bit i is 1 if it is set in over half of the hashes; 0 without hashes."""
-    n = len(hashes)
+def majorities(hashes: np.ndarray) -> np.ndarray:
+    """For each row of hashes (views, n): bit i is 1 if it is set in over half of them; 0 without hashes. The bits of
+    STEP hashes a row are laid open at once, however many there are."""
+    rows, n = hashes.shape
     if n == 0:
-        return 0
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    whole = n // 255 * 255
-    sums = bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
-    return int(np.packbits(sums * 2 > n, bitorder="little").view("<u8")[0])
+        return np.zeros(rows, "<u8")
+    sums = np.zeros((rows, 64), np.int64)
+    for i in range(0, n, STEP):
+        part = np.ascontiguousarray(hashes[:, i : i + STEP], "<u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(rows, -1, 8), axis=2, bitorder="little")
+        for k in range(0, bits.shape[1], 255):
+            sums += bits[:, k : k + 255].sum(1, dtype=np.uint8)
+    return np.packbits(sums * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    return majority(shingle_hashes(text, shingle))
-
-
-def views(text: str | None, shingle: int, n: int) -> list[int]:
-    """n independent fingerprints of a text; the first is its fingerprint, the others come from mixed hashes."""
-    h = shingle_hashes(text, shingle)
-    out = [majority(h)]
-    for v in range(1, n):
-        with np.errstate(over="ignore"):
-            x = h ^ np.uint64(v * 0x9E3779B97F4A7C15 & _ALL)
-            for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(c)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return out
+    return int(views(shingle_hashes(text, shingle), 1)[0])
+
+
+def views(h: np.ndarray, n: int) -> np.ndarray:
+    """n independent fingerprints from shingle hashes; the first is the fingerprint, the others come from mixed hashes."""
+    mixed = np.tile(h, (n, 1))
+    with np.errstate(over="ignore"):
+        x = mixed[1:]
+        x ^= (np.arange(1, n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+        for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x ^= x >> np.uint64(30)
+            x *= np.uint64(c)
+        x ^= x >> np.uint64(31)
+    return majorities(mixed)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n: int = 1) -> DataFrame:
@@ -87,7 +94,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n: int = 1) -> DataFra
 
     def run(batches):
         for batch in batches:
-            fps = np.array([views(x.as_py(), shingle, n) for x in batch["text"]], np.uint64).reshape(-1, n).view(np.int64)
+            fps = np.array([views(shingle_hashes(x.as_py(), shingle), n) for x in batch["text"]], np.uint64).reshape(-1, n).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in schema.names[:-n]], *[pa.array(fps[:, i]) for i in range(n)]], schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -277,23 +284,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     return prints.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int, bits: int, n_views: int) -> DataFrame:
-    """One row of each group of near duplicates, with all columns of docs.
-
-    Texts are linked that differ in at most `bits` bits in one of n_views independent fingerprints. Which row
-    stays: see first_rows.
-    """
-    names = [f"fp{i}" for i in range(n_views)]
-    prints = fingerprints(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), shingle, n_views)
-    prints = materialise(prints.withColumn("node", F.xxhash64(*names)))
-    per_view = F.explode(F.array(*[F.struct(F.lit(i).alias("view"), F.col(c).alias("fp")) for i, c in enumerate(names)])).alias("x")
-    seen = materialise(prints.select("node", *names).distinct().select("node", per_view).select("node", "x.view", "x.fp"))
-    reps = materialise(seen.groupBy("view", "fp").agg(F.min("node").alias("rep")))
-    shared = seen.join(reps, ["view", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    near = near_edges(reps.select("view", "fp"), bits)
-    near = near.join(reps.select("view", F.col("fp").alias("a"), F.col("rep").alias("na")), ["view", "a"])
-    near = near.join(reps.select("view", F.col("fp").alias("b"), F.col("rep").alias("nb")), ["view", "b"])
-    return first_rows(docs, prints, shared.unionAll(near.select(F.col("na").alias("a"), F.col("nb").alias("b"))))
+def near_groups(seen: DataFrame, bits: int, together: int = 4) -> DataFrame:
+    """seen (view int, fp long, distinct) -> view, fp, root: equal in a view for fingerprints that a chain of links of
+    at most `bits` different bits joins; those that nothing is near to are left out. `together` views are joined at
+    a time, each with its files gone before the next."""
+    mark = lambda c: F.xxhash64("view", c)
+    n = seen.agg(F.coalesce(F.max("view"), F.lit(-1))).first()[0] + 1
+    edges = None
+    for i in range(0, max(n, 1), together):
+        part = near_edges(seen.where(F.col("view").between(i, i + together - 1)).withColumn("view", F.col("view") - i), bits)
+        part = materialise(part.select((F.col("view") + i).alias("view"), "a", "b").select(mark("a").alias("a"), mark("b").alias("b")))
+        edges = part if edges is None else edges.unionAll(part)
+    roots = components(thin(edges))
+    return seen.withColumn("node", mark("fp")).join(roots, "node").select("view", "fp", "root")
 
 
 def first_rows(docs: DataFrame, prints: DataFrame, links: DataFrame) -> DataFrame:

@@ -74,14 +74,6 @@ def test_simhash_large_groups_are_exact(spark):
         assert {f: root.get(f, f) for _, f in signed} == {f: min(g) for g in groups.values() for f in g}
 
 
-def test_keep_one(spark, frame, docs):
-    kept = simhash.keep_one(frame, 5, 4, 2)
-    assert kept.columns == frame.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(5) == 1 and ids.count(19) == 0 and 20 not in ids and ids.count(1) == 1 and 2 not in ids and ids.count(4) == 2
-    assert simhash.keep_one(frame.limit(0), 5, 4, 2).count() == 0
-
-
 def test_decontaminate(spark, frame, docs):
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "one"), (901, None), (902, "..."), (None, "two words"), (900, awkward()[7][1][:200])]
     wanted = sorted(brute.leaks(docs, bench), key=repr)
