@@ -258,13 +258,26 @@ def near_edges(fps: DataFrame, bits: int = BITS, limit: int = GROUP_LIMIT) -> Da
 
 
 def thin(edges: DataFrame) -> DataFrame:
-    """Fewer edges (a, b) that join the same: each a keeps its smallest b, and its other b are tied to that one.
+    """Fewer edges (a, b) that join the same: each task joins what it has, and gives every node of it one edge to the
+    smallest node of its component there.
 
-    Nodes of one dense group mostly share their b, so that those ties are few once they are distinct. An a has
-    at most one b for each view and mask (near_edges) and one for each view, so its array is bounded.
+    An a has at most one b for each view and mask (near_edges), so its array is bounded; the many b of a dense group
+    mostly are the same few.
     """
-    near = edges.groupBy("a").agg(F.collect_set("b").alias("to")).withColumn("least", F.array_min("to"))
-    return near.select(F.explode(F.array_union(F.array("a"), "to")).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+
+    def forest(batches):
+        parts = [(b["a"].to_numpy(), b["to"]) for b in batches]
+        if not parts:
+            return
+        x = np.concatenate([np.repeat(a, np.diff(to.offsets.to_numpy())) for a, to in parts])
+        y = np.concatenate([to.flatten().to_numpy() for _, to in parts])
+        nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        label = unite(np.arange(len(nodes)), at[: len(x)], at[len(x) :])
+        tied = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[tied], pa.int64()), pa.array(nodes[label[tied]], pa.int64())], ["a", "b"])
+
+    grouped = edges.groupBy("a").agg(F.collect_set("b").alias("to"))
+    return grouped.mapInArrow(forest, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -284,18 +297,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     return prints.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_groups(seen: DataFrame, bits: int, together: int = 4) -> DataFrame:
+def near_groups(seen: DataFrame, bits: int, together: int = 2) -> DataFrame:
     """seen (view int, fp long, distinct) -> view, fp, root: equal in a view for fingerprints that a chain of links of
-    at most `bits` different bits joins; those that nothing is near to are left out. `together` views are joined at
-    a time, each with its files gone before the next."""
+    at most `bits` different bits joins; those that nothing is near to are left out. `together` views are joined
+    and thinned at a time, so that no step holds the edges of all."""
     mark = lambda c: F.xxhash64("view", c)
     n = seen.agg(F.coalesce(F.max("view"), F.lit(-1))).first()[0] + 1
     edges = None
     for i in range(0, max(n, 1), together):
         part = near_edges(seen.where(F.col("view").between(i, i + together - 1)).withColumn("view", F.col("view") - i), bits)
         part = materialise(part.select((F.col("view") + i).alias("view"), "a", "b").select(mark("a").alias("a"), mark("b").alias("b")))
+        part = materialise(thin(part))
         edges = part if edges is None else edges.unionAll(part)
-    roots = components(thin(edges))
+    roots = components(edges)
     return seen.withColumn("node", mark("fp")).join(roots, "node").select("view", "fp", "root")
 
 

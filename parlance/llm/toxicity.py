@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from parlance.llm.common import materialise, table
 
 #: Labelled rows of each class that a model is fitted on, the ones with the smallest hash of their id.
-MAX_EXAMPLES = 1_500
+MAX_EXAMPLES = 1_000
 OPENINGS = (4, 6)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -35,8 +35,8 @@ OFTEN, BLOCKED = 16, 1_024
 #: Blocks that set a text's first bound, and texts that are scored together.
 FIRST_BLOCKS, TOGETHER = 4, 32
 #: Texts whose result a worker remembers, and words whose terms.
-REMEMBERED = 20_000
-WORDS = 200_000
+REMEMBERED = 10_000
+WORDS = 100_000
 THRESHOLD = 0.7
 PRIOR_VOTES = 0.5
 
@@ -49,6 +49,10 @@ def openings(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in OPENINGS if len(word) >= k)]
 
 
+def term_key(term: str) -> int:
+    return xxhash.xxh64_intdigest(term)
+
+
 def terms(text: str | None) -> Counter:
     """Counts of the words in lower case and of their openings."""
     found: Counter = Counter()
@@ -78,11 +82,11 @@ def term_weights(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: in
 
 @dataclass
 class Model:
-    """The index. begin[t] to begin[t + 1] are term t's postings (at: example, w: weight), by example. Terms with a
-    place >= 0 are also held by blocks of BLOCK examples: cells[block, example, place], and best, their largest weight
-    in each block. slope and shift are the calibration."""
+    """The index. Terms go by the hash of their text: keys are the hashes in order, a term's number its place. begin[t] to begin[t + 1] are term t's postings (at: example, w: weight), by example. Those of the most
+    frequent terms, which have a place >= 0, are held by blocks of BLOCK examples instead: cells[block, example, place],
+    and best, their largest weight in each block. slope and shift are the calibration."""
 
-    number: dict[str, int]
+    keys: np.ndarray
     weights: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
@@ -108,10 +112,17 @@ class Model:
             cells[self.at[span], i] = self.w[span]
         self.cells = cells.reshape(self.n_blocks, BLOCK, len(frequent))
         self.best = self.cells.max(1)
+        rare = np.repeat(self.place < 0, held)
+        self.at, self.w = self.at[rare].astype(np.int16 if n < 2**15 else np.int32), self.w[rare]
+        self.begin = np.concatenate([[0], np.cumsum(np.where(self.place < 0, held, 0))])
         self.known: dict[bytes, tuple[float, list[int]]] = {}
         self.word_no: dict[str, int] = {}
         self.terms_of = np.full((WORDS, 1 + len(OPENINGS)), -1, np.int32)
 
+    def __getstate__(self) -> dict:
+        """Without what a worker finds again as it goes."""
+        return self.__dict__ | {"known": {}, "word_no": {}, "terms_of": np.full((WORDS, 1 + len(OPENINGS)), -1, np.int32)}
+
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of the text's terms, of length 1 over all terms that any example has."""
         counts = Counter(_WORD.findall((text or "").lower()))
@@ -119,12 +130,19 @@ class Model:
             self.word_no.clear()
             self.terms_of = np.full((max(WORDS, len(counts)), self.terms_of.shape[1]), -1, np.int32)
         numbers = list(map(self.word_no.get, counts))
-        if None in numbers:
-            for i, word in enumerate(counts):
-                if numbers[i] is None:
-                    numbers[i] = self.word_no[word] = len(self.word_no)
-                    mine = [self.number[t] for t in openings(word) if t in self.number]
-                    self.terms_of[numbers[i], : len(mine)] = mine
+        if None in numbers and len(self.keys):
+            fresh = [word for word, n in zip(counts, numbers, strict=True) if n is None]
+            first = len(self.word_no)
+            self.word_no.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            mine = [openings(word) for word in fresh]
+            place = np.repeat(np.arange(first, first + len(fresh)), [len(m) for m in mine])
+            slot = np.concatenate([np.arange(len(m)) for m in mine])
+            hashes = np.array([term_key(t) for m in mine for t in m], np.uint64)
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            self.terms_of[place, slot] = np.where(self.keys[at] == hashes, at, -1)
+            numbers = list(map(self.word_no.get, counts))
+        elif not len(self.keys):
+            return _NO_TERMS, np.zeros(0)
         found = self.terms_of[numbers] if numbers else self.terms_of[:0]
         known = found >= 0
         times = np.broadcast_to(np.fromiter(counts.values(), float, len(counts))[:, None], found.shape)[known]
@@ -245,11 +263,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     n = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
     stands_for = [totals.get(0, 0) / max(n_clean, 1), totals.get(1, 0) / max(n_toxic, 1)]
-    weights = term_weights(found["clean"].to_numpy(), found["toxic"].to_numpy(), n_clean, n_toxic)
-    number = {t: i for i, t in enumerate(found["term"].to_pylist())}
+    keys = np.array([term_key(t.as_py()) for t in found["term"]], np.uint64)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    weights = term_weights(found["clean"].to_numpy()[order], found["toxic"].to_numpy()[order], n_clean, n_toxic)
     base_rate = totals.get(1, 0) / max(sum(totals.values()), 1)
     nothing = np.zeros(0)
-    shared = spark.sparkContext.broadcast(Model(number, weights, nothing, nothing, nothing, np.zeros(len(number) + 1, np.int64), np.zeros(0, np.int32), nothing, base_rate))
+    shared = spark.sparkContext.broadcast(Model(keys, weights, nothing, nothing, nothing, np.zeros(len(keys) + 1, np.int64), np.zeros(0, np.int32), nothing, base_rate))
 
     def vectors(batches):
         for batch in batches:
@@ -263,10 +283,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     term, w = (np.concatenate([np.zeros(0, k), *[c.flatten().to_numpy() for c in indexed[name].chunks]]) for name, k in (("terms", np.int32), ("weights", float)))
     at = np.repeat(np.arange(len(indexed), dtype=np.int32), sizes)
     order = np.argsort(term, kind="stable")
-    begin = np.searchsorted(term[order], np.arange(len(number) + 1))
+    begin = np.searchsorted(term[order], np.arange(len(keys) + 1))
     ids, y = indexed["doc_id"].to_numpy().astype(np.int64), indexed["toxic"].to_numpy().astype(float)
     votes = np.where(y > 0, stands_for[1], stands_for[0])
-    model = Model(number, weights, ids, y, votes, begin, at[order], w[order], base_rate)
+    model = Model(keys, weights, ids, y, votes, begin, at[order], w[order], base_rate)
     if n_clean and n_toxic:
         shared = spark.sparkContext.broadcast(model)
         place = {d: i for i, d in enumerate(ids.tolist())}

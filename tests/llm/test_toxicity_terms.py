@@ -30,7 +30,7 @@ def test_nearest_is_exact():
     dense = rng.random((n, terms)) * (rng.random((n, terms)) < rng.random(terms) ** 3)
     at = [np.flatnonzero(dense[:, t]) for t in range(terms)]
     begin = np.concatenate([[0], np.cumsum([len(a) for a in at])])
-    model = toxicity.Model({str(t): t for t in range(terms)}, np.ones(terms), np.arange(n), np.zeros(n), np.ones(n), begin, np.concatenate(at), np.concatenate([dense[a, t] for t, a in enumerate(at)]), 0.1)
+    model = toxicity.Model(np.arange(terms, dtype=np.uint64), np.ones(terms), np.arange(n), np.zeros(n), np.ones(n), begin, np.concatenate(at), np.concatenate([dense[a, t] for t, a in enumerate(at)]), 0.1)
     assert 0 < model.cells.shape[2] < terms
     vectors = []
     for size in (0, 1, 5, 40, 150):
