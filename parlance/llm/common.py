@@ -64,10 +64,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, each a grouped minimum and an equi-join, until the
     edge set stays the same. Every round is written to the shared folder; nothing is collected but
-    two numbers. Nodes without an edge do not appear.
+    two numbers. Nodes without an edge do not appear. Nodes that hang on one smaller node alone, most of a dense
+    group once it is thin, stay out of the rounds and take that node's root at the end.
     """
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
-    current = materialise(edges.where("a <> b").select(hi.alias("a"), lo.alias("b")).distinct())
+    whole = materialise(edges.where("a <> b").select(hi.alias("a"), lo.alias("b")).distinct())
+    ones = whole.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b")
+    leaves = materialise(ones.join(whole.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
+    roots = _rounds(materialise(whole.join(leaves.select("a"), "a", "left_anti")))
+    above = leaves.join(roots, F.col("b") == F.col("node"), "left").select(F.col("a").alias("node"), F.coalesce("root", "b").alias("root"))
+    return roots.unionByName(above)
+
+
+def _rounds(current: DataFrame) -> DataFrame:
     mark = _mark(current)
     while mark[0]:
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
