@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from parlance.llm.audit import OP11_SQL, op11_filter_audit
 from parlance.llm.decontaminate import op3_decontaminate
 from parlance.llm.language_model import op9_language_model
 from parlance.llm.mixing import OP4_SQL, op4_mixing
@@ -12,6 +13,7 @@ from parlance.llm.simhash import op1_simhash
 from parlance.llm.sketch import op7_sketch
 from parlance.llm.tokens import op5_tokens
 from parlance.llm.toxicity import op2_toxicity
+from parlance.llm.url_filter import OP13_SQL, op13_url_filter
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_language_model": op9_language_model,
     "op10_repeats": op10_repeats,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_url_filter": op13_url_filter,
 }
-SQL = {"op4_mixing": OP4_SQL}
+SQL = {"op4_mixing": OP4_SQL, "op11_filter_audit": OP11_SQL, "op13_url_filter": OP13_SQL}
