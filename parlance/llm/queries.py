@@ -5,6 +5,7 @@ from __future__ import annotations
 from parlance.llm.audit import OP11_SQL, op11_filter_audit
 from parlance.llm.decontaminate import op3_decontaminate
 from parlance.llm.language_model import op9_language_model
+from parlance.llm.manifest import OP12_SQL, op12_manifest
 from parlance.llm.mixing import OP4_SQL, op4_mixing
 from parlance.llm.pii import op8_pii
 from parlance.llm.repeats import op10_repeats
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language_model": op9_language_model,
     "op10_repeats": op10_repeats,
     "op11_filter_audit": op11_filter_audit,
+    "op12_manifest": op12_manifest,
     "op13_url_filter": op13_url_filter,
 }
-SQL = {"op4_mixing": OP4_SQL, "op11_filter_audit": OP11_SQL, "op13_url_filter": OP13_SQL}
+SQL = {"op4_mixing": OP4_SQL, "op11_filter_audit": OP11_SQL, "op12_manifest": OP12_SQL, "op13_url_filter": OP13_SQL}
