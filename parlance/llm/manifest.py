@@ -1,6 +1,6 @@
 """A Merkle tree over a table: a leaf for each row, a tree of threes for each source, a tree over the sources.
 
-Authentication paths come by Merkle traversal. The leaves of a source, in order, are cut into aligned blocks of BLOCK.
+Authentication paths come by Merkle traversal. The leaves of a source, in order, are cut into aligned blocks.
 Within a block each level of the path has its run of siblings, and a treehash stack that makes the level's next run while
 the leaves of this one pass, so that a path costs a few steps and the memory is that of some runs a level. The roots of
 the blocks are the leaves of the next tree, until a source has one root; a block's path there is shared by its leaves and
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from parlance.llm.common import materialise, shuffle_partitions, table
 
 ARITY = 3
+#: Levels of a block, which has ARITY ** HEIGHT nodes at most.
 HEIGHT = 6
-BLOCK = ARITY**HEIGHT
 
 Step = tuple[str, str]  # the hex text of the siblings left and right of a node in its run
 
@@ -60,11 +60,11 @@ class Treehash:
         return self.runs[self.level]
 
 
-def height_of(first: int, size: int) -> int:
+def height_of(first: int, size: int, most: int) -> int:
     """Of the tree in a block whose first leaf has the index first: the only block of its tree ends at one node, one
-    of several goes up all levels."""
-    if first or size == BLOCK:
-        return HEIGHT
+    of several goes up all levels, most."""
+    if first or size == ARITY**most:
+        return most
     height = 0
     while ARITY**height < size:
         height += 1
@@ -135,70 +135,70 @@ _NODES = "key string, rank long, digest string"
 _PATHS = "key string, rank long, path array<string>, subroot string, root string"
 
 
-def _block(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.expr(f"rank div {BLOCK}"))
+def _block(nodes: DataFrame, height: int) -> DataFrame:
+    return nodes.withColumn("block", F.expr(f"rank div {ARITY**height}"))
 
 
-def _in_order(nodes: pd.DataFrame) -> tuple[pd.DataFrame, list[str], int]:
+def _in_order(nodes: pd.DataFrame, most: int) -> tuple[pd.DataFrame, list[str], int]:
     nodes = nodes.sort_values("rank")
-    return nodes, nodes["digest"].tolist(), height_of(int(nodes["rank"].iloc[0]), len(nodes))
+    return nodes, nodes["digest"].tolist(), height_of(int(nodes["rank"].iloc[0]), len(nodes), most)
 
 
-def _climb(nodes: DataFrame) -> list[DataFrame]:
+def _climb(nodes: DataFrame, most: int) -> list[DataFrame]:
     """nodes and the roots of their blocks, tree by tree, until each key has one."""
 
     def roots(key, block):
-        _, leaves, height = _in_order(block)
+        _, leaves, height = _in_order(block, most)
         return pd.DataFrame([(key[0], key[1], block_root(leaves, height))], columns=["key", "rank", "digest"])
 
     levels = [nodes]
     while len(levels) == 1 or levels[-1].agg(F.max("rank")).first()[0]:
-        levels.append(materialise(_block(levels[-1].select("key", "rank", "digest")).groupBy("key", "block").applyInPandas(roots, _NODES)))
+        levels.append(materialise(_block(levels[-1].select("key", "rank", "digest"), most).groupBy("key", "block").applyInPandas(roots, _NODES)))
     return levels
 
 
-def _descend(nodes: DataFrame, above: DataFrame, make, schema: str) -> DataFrame:
+def _descend(nodes: DataFrame, above: DataFrame, most: int, make, schema: str) -> DataFrame:
     """make(row, path, subroot, root) for each node, path a list of steps up to the root; above has the paths of the blocks."""
 
     def extend(block, shared):
         if block.empty:
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        block, leaves, height = _in_order(block)
+        block, leaves, height = _in_order(block, most)
         up = shared.iloc[0]
         upper = list(zip(up["path"][::2], up["path"][1::2], strict=True))
         rows = [make(row, path + upper, up["subroot"], up["root"]) for row, path in zip(block.itertuples(), traverse(leaves, height))]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return _block(nodes).groupBy("key", "block").cogroup(above.withColumnRenamed("rank", "block").groupBy("key", "block")).applyInPandas(extend, schema)
+    return _block(nodes, most).groupBy("key", "block").cogroup(above.withColumnRenamed("rank", "block").groupBy("key", "block")).applyInPandas(extend, schema)
 
 
 def _with_path(row, path: list[Step], subroot: str, root: str) -> tuple:
     return row.key, row.rank, [x for step in path for x in step], subroot, root
 
 
-def _descend_all(levels: list[DataFrame], above: DataFrame) -> DataFrame:
+def _descend_all(levels: list[DataFrame], above: DataFrame, most: int) -> DataFrame:
     for nodes in reversed(levels):
-        above = materialise(_descend(nodes.select("key", "rank", "digest"), above, _with_path, _PATHS))
+        above = materialise(_descend(nodes.select("key", "rank", "digest"), above, most, _with_path, _PATHS))
     return above
 
 
-def authenticate(leaves: DataFrame, order: tuple[str, ...], make=_with_path, schema: str = _PATHS) -> DataFrame:
+def authenticate(leaves: DataFrame, order: tuple[str, ...], make=_with_path, schema: str = _PATHS, height: int = HEIGHT) -> DataFrame:
     """leaves (source, digest and the columns of order) -> make(row, path, subroot, root) of each.
 
     Within a source leaves go by the columns of order, then by digest; sources by their bytes, null first. Equal rows
-    are leaves each. An empty table gives an empty one. Trees are cut into blocks, so no task has more than BLOCK nodes
-    of one; a source may have any share of the rows.
+    are leaves each. An empty table gives an empty one. Trees are cut into blocks, so no task has more than one
+    block's nodes at a time; a source may have any share of the rows.
     """
     keyed = leaves.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("row", F.monotonically_increasing_id())
     ranked = materialise(_ranked(materialise(keyed), *order, "digest", "row"))
-    levels = _climb(ranked)
+    levels = _climb(ranked, height)
     tops = levels[-1].select(F.lit("").alias("key"), F.col("key").alias("source"), "digest")
     sources = materialise(_ranked(tops, "source"))
-    trees = _climb(sources)
+    trees = _climb(sources, height)
     top = trees[-1].select("key", "rank", F.array().cast("array<string>").alias("path"), F.lit("").alias("subroot"), F.col("digest").alias("root"))
-    paths = _descend_all(trees[:-1], top).select("rank", "path", "root")
+    paths = _descend_all(trees[:-1], top, height).select("rank", "path", "root")
     above = sources.join(paths, "rank").select(F.col("source").alias("key"), F.lit(0).cast("long").alias("rank"), "path", F.col("digest").alias("subroot"), "root")
-    return _descend(ranked, _descend_all(levels[1:-1], above), make, schema)
+    return _descend(ranked, _descend_all(levels[1:-1], above, height), height, make, schema)
 
 
 def _ids() -> list[Column]:
@@ -206,7 +206,7 @@ def _ids() -> list[Column]:
     return [F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id")]
 
 
-def prove(docs: DataFrame) -> DataFrame:
+def prove(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """docs with FIELDS -> doc_id, source, leaf, subroot, root, path (left and right siblings of each level in turn, hex
     text): the manifest that fold() checks a row against. Null fields and ids, and texts of any length, are leaves like
     others; ids that repeat go by the leaf. Other columns are not part of it."""
@@ -216,13 +216,13 @@ def prove(docs: DataFrame) -> DataFrame:
         return row.id if row.has_id else None, source, row.digest, subroot, root, [x for step in path for x in step]
 
     leaves = docs.select("source", *_ids(), leaf_of().alias("digest"))
-    return authenticate(leaves, ("has_id", "id"), make, "doc_id long, source string, leaf string, subroot string, root string, path array<string>")
+    return authenticate(leaves, ("has_id", "id"), make, "doc_id long, source string, leaf string, subroot string, root string, path array<string>", height)
 
 
 _OP12 = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
-def check_tampered(docs: DataFrame, tampered: Column) -> DataFrame:
+def check_tampered(docs: DataFrame, tampered: Column, height: int = HEIGHT) -> DataFrame:
     """The manifest of docs held against the same rows with text replaced by the column tampered: _OP12, a row for each of docs."""
 
     def make(row, path, subroot, root):
@@ -232,7 +232,7 @@ def check_tampered(docs: DataFrame, tampered: Column) -> DataFrame:
 
     changed = F.when(~tampered.eqNullSafe(F.col("text")), leaf_of(text=tampered))
     leaves = docs.select("source", *_ids(), leaf_of().alias("digest"), changed.alias("tampered"))
-    return authenticate(leaves, ("has_id", "id"), make, _OP12)
+    return authenticate(leaves, ("has_id", "id"), make, _OP12, height)
 
 
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,9 +49,7 @@ def brute(docs):
 
 
 @pytest.mark.parametrize("height", [2, 6])
-def test_awkward_rows(spark, monkeypatch, height):
-    monkeypatch.setattr(manifest, "HEIGHT", height)
-    monkeypatch.setattr(manifest, "BLOCK", 3**height)
+def test_awkward_rows(spark, height):
     rng = random.Random(3)
     docs = [(i, rng.choice(["hot", "hot", "b", "é", "Z"]), rng.choice(["en", None]), i, rng.choice(["a\nb", "plain", "é\n\n", None, ""])) for i in range(260)]
     docs += [(5, "hot", "en", 5, "a\nb")] * 30 + [(None, "hot", None, None, f"x\n{i}") for i in range(40)] + [(None, None, None, None, None)] * 12
@@ -59,11 +57,11 @@ def test_awkward_rows(spark, monkeypatch, height):
     schema = "doc_id long, source string, lang string, n_chars long, text string, key string, rank int"
     frame = spark.createDataFrame([(*d, "k", 1) for d in docs], schema).repartition(5)
     tampered = manifest.F.when(manifest.F.crc32(manifest.F.col("doc_id").cast("string").cast("binary")) % 2 == 0, manifest.F.replace("text", manifest.F.lit("\n"), manifest.F.lit(""))).otherwise(manifest.F.col("text"))
-    got = manifest.check_tampered(frame, tampered).collect()
+    got = manifest.check_tampered(frame, tampered, height).collect()
     assert sorted(map(tuple, got), key=repr) == brute(docs)
     assert 0 < sum(r.verified for r in got) < len(got)
     if height == 2:
-        proofs = manifest.prove(frame).collect()
+        proofs = manifest.prove(frame, height).collect()
         assert len(proofs) == len(docs) and sum(r.source is None for r in proofs) == 12
         for r in proofs:
             path = list(zip(r.path[::2], r.path[1::2]))
