@@ -36,11 +36,12 @@ CLASSES = (
     ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.8),
 )
 #: Candidates that are no secret: UUIDs, placeholders, words and numbers joined by signs or by capitals, repeated parts.
+#: Repeated groups are possessive: the others take a stack frame a repetition, and a long run ends the JVM.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|dummy|sample|x{6}|0{8}|123456789",
-    r"^(?:[A-Z]?[a-z]*|[A-Z]*)[0-9]*(?:[/_=+-]++(?:(?:[A-Z]?[a-z]*+)++|[A-Z]*+)[0-9]*+)++$",
-    r"^(?:[A-Z]?[a-z]{2,})+[0-9]{0,4}$",
+    r"^(?:[A-Z]?[a-z]*|[A-Z]*)[0-9]*(?:[/_=+-]++(?:(?:[A-Z]?+[a-z]{2,}+)++|[A-Z]*+[a-z]*+)[0-9]*+)++$",
+    r"^(?:[A-Z]?+[a-z]{2,}+)++[0-9]{0,4}$",
     r"^(.{1,8})\1+$",
 )
 
@@ -48,28 +49,47 @@ _XLOGX = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]
 _FIRST, _LAST = 43, 122  # code points of a candidate's characters, '+' to 'z'
 
 
+_EACH, _BITS = 10, 6  # counts that a long holds, and bits of a count
+
+
 def window_entropy(text: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy in bits of any `window` characters in a row; one pass, counts kept."""
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c) - (_FIRST - 1))
+    """The largest Shannon entropy in bits of any `window` characters in a row; one pass, counts kept.
+
+    The counts are packed into a few longs, and a step changes two of them, so the work grows with the text's length.
+    """
     xlogx = F.array(*[F.lit(v) for v in _XLOGX])
-    f = lambda count: F.element_at(xlogx, count + 1)
-    zero = F.struct(
-        codes.alias("codes"), F.array_repeat(F.lit(0), _LAST - _FIRST + 1).alias("counts"), F.lit(0).alias("at"), F.lit(0.0).cast("double").alias("sum"), F.lit(-1.0).cast("double").alias("best")
-    )
-
-    def step(acc: Column, code: Column) -> Column:
-        full = acc["at"] >= window
-        gone = F.when(full, F.element_at(acc["codes"], F.greatest(acc["at"] - window + 1, F.lit(1)))).otherwise(F.lit(0))
-        same = gone == code
-        grown, shrunk = F.element_at(acc["counts"], code), F.when(full, F.element_at(acc["counts"], F.greatest(gone, F.lit(1)))).otherwise(F.lit(0))
-        total = acc["sum"] + F.when(same, F.lit(0.0)).otherwise(f(grown + 1) - f(grown) + F.when(full, f(F.greatest(shrunk - 1, F.lit(0))) - f(shrunk)).otherwise(F.lit(0.0)))
-        counts = F.when(same, acc["counts"]).otherwise(
-            F.transform(acc["counts"], lambda v, i: v + F.when(i + 1 == code, 1).when(i + 1 == gone, -1).otherwise(0))
+    f = lambda count: F.element_at(xlogx, count.cast("int") + 1)
+    longs = -(-(_LAST - _FIRST + 1) // _EACH)
+    one = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), shift)
+    place = lambda code: ((code / _EACH).cast("int"), (code % _EACH * _BITS).cast("int"))
+    count = lambda counts, word, shift: F.call_function("shiftrightunsigned", F.get(counts, word), shift).bitwiseAND(2**_BITS - 1)
+
+    def entry(codes: Column):
+        def at(code: Column, i: Column) -> Column:
+            gone = F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
+            (word, shift), (old_word, old_shift) = place(code), place(F.greatest(gone, F.lit(0)))
+            return F.struct(
+                word.alias("word"), shift.alias("shift"), old_word.alias("old_word"), old_shift.alias("old_shift"),
+                (gone >= 0).alias("full"), (gone == code).alias("same"), (i + 1 >= window).alias("whole"),
+            )
+
+        return at
+
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("counts"), F.lit(0.0).cast("double").alias("sum"), F.lit(-1.0).cast("double").alias("best"))
+
+    def step(acc: Column, x: Column) -> Column:
+        grown, shrunk = count(acc["counts"], x["word"], x["shift"]), count(acc["counts"], x["old_word"], x["old_shift"])
+        less = F.when(x["full"], f(F.greatest(shrunk - 1, F.lit(0))) - f(shrunk)).otherwise(F.lit(0.0))
+        total = acc["sum"] + F.when(x["same"], F.lit(0.0)).otherwise(f(grown + 1) - f(grown) + less)
+        moved = F.transform(
+            acc["counts"],
+            lambda v, i: v + F.when(i == x["word"], one(x["shift"])).otherwise(F.lit(0)) - F.when(x["full"] & (i == x["old_word"]), one(x["old_shift"])).otherwise(F.lit(0)),
         )
-        here = F.when(acc["at"] + 1 >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(-1.0))
-        return F.struct(acc["codes"].alias("codes"), counts.alias("counts"), (acc["at"] + 1).alias("at"), total.alias("sum"), F.greatest(acc["best"], here).alias("best"))
+        here = F.when(x["whole"], F.lit(math.log2(window)) - total / window).otherwise(F.lit(-1.0))
+        return F.struct(F.when(x["same"], acc["counts"]).otherwise(moved).alias("counts"), total.alias("sum"), F.greatest(acc["best"], here).alias("best"))
 
-    return F.aggregate(codes, zero, step, lambda acc: acc["best"])
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c) - _FIRST)
+    return spans.bound(spans.bound(codes, lambda codes: F.transform(codes, entry(codes))), lambda steps: F.aggregate(steps, zero, step, lambda acc: acc["best"]))
 
 
 def is_random(candidate: Column) -> Column:
@@ -98,6 +118,35 @@ def scan(docs: DataFrame) -> DataFrame:
     return whole.withColumn("entropy", F.filter(random, more))
 
 
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def _gaps(cuts: Column) -> Column:
+    """The stretch before each of the sorted spans that does not overlap or touch an earlier one; folded by chunks."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / spans.CHUNK).cast("int")), lambda k: F.slice(cuts, k * spans.CHUNK + 1, spans.CHUNK))
+    none = lambda kind: F.array().cast(kind).alias("out")
+
+    def reached(chunks: Column) -> Column:
+        furthest = lambda chunk: F.array_max(F.transform(chunk, lambda s: s["end"]))
+        step = lambda acc, c: F.struct(F.greatest(acc["at"], furthest(c)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(chunks, F.struct(F.lit(-1).alias("at"), none("array<int>")), step, lambda acc: acc["out"])
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.struct(F.greatest(acc["at"], F.lit(0)).alias("start"), s["start"].alias("end"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] > acc["at"], F.array_append(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+
+    one = lambda chunk, at: F.aggregate(chunk, F.struct(at.alias("at"), none(_SPANS)), step, lambda acc: acc["out"])
+    return spans.bound(chunks, lambda chunks: F.flatten(F.zip_with(chunks, reached(chunks), one)))
+
+
+def _without(signs: Column, cuts: Column, mark: str) -> Column:
+    """The text of signs, a list of characters, with mark for each of the sorted spans cuts."""
+    text = lambda start, size: F.array_join(F.slice(signs, start + 1, size), "")
+    end = F.array_max(F.transform(cuts, lambda s: s["end"]))
+    before = F.transform(_gaps(cuts), lambda g: F.concat(text(g["start"], g["end"] - g["start"]), F.lit(mark)))
+    return F.concat(F.array_join(before, ""), text(end, F.size(signs) - end))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with text (and n_chars, if it has that) -> the same rows and columns, each secret replaced by mark.
 
@@ -106,17 +155,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     names = docs.columns
     data = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     found = scan(docs.select(data, F.col("text")))
-    all_spans = F.array_sort(F.transform(F.concat("assign", "access", "hex", "entropy"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = (F.size(acc["out"]) == 0) | (s["start"] > acc["at"])
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
-
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    new = F.when(F.size("spans") > 0, F.aggregate("spans", zero, step, rest)).otherwise(F.col("text"))
-    done = found.withColumn("spans", all_spans).withColumn("new", new)
+    every = F.array_sort(F.transform(F.concat("assign", "access", "hex", "entropy"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    hidden = spans.bound(F.split("text", ""), lambda signs: spans.bound(every, lambda cuts: _without(signs, cuts, mark)))
+    done = found.withColumn("spans", every).withColumn("new", F.when(F.size("spans") > 0, hidden).otherwise(F.col("text")))
     out = {"text": F.col("new"), "n_chars": F.when(F.size("spans") > 0, F.length("new")).otherwise(F.col("row.n_chars")) if "n_chars" in names else None}
     return done.select(*[(out[c].cast(docs.schema[c].dataType) if out.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in names])
 
