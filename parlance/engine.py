@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance import config, plugins
+from parlance import config, plugins, streaming
 from parlance.operators import analyse, digest, exports, insights, notes, redaction, search, store
+from parlance.streaming import carried
 
 log = logging.getLogger("parlance")
 
@@ -66,20 +67,27 @@ class Engine:
         """Analysed lines; with a folder in the settings and a batch_id also stored, with their child tables."""
         if self.settings.privacy.redact_at_source:
             lines = self.scrub(lines)
-        found = analyse.analyse(lines, self.toggles(), self.translator)
-        children = analyse.children(found)
+        return self._keep(analyse.analyse(lines, self.toggles(), self.translator), batch_id)
+
+    def _keep(self, found: DataFrame, batch_id: int | None) -> DataFrame:
+        """Analysed lines to the store, once, and from there to the listeners."""
         if self.settings.store.folder and batch_id is not None:
-            flat = found.withColumn("compound", F.col("sentiment.compound")).withColumn("label", F.col("sentiment.label"))
-            store.append(self.settings.store.folder, batch_id, {"transcript": flat, **children})
+            found = store.append(self.settings.store.folder, batch_id, found)
         self._emit("transcript", found)
-        self._emit("actions", children["action_items"])
+        self._emit("actions", analyse.children(found)["action_items"])
         return found
 
     def follow(self, stream: DataFrame, checkpoint: str):
-        """submit() of every batch of a stream, until all that is there has been read. A batch holds whole sessions or
-        the lines that came; windows along a session see the lines of their batch."""
-        write = lambda rows, batch_id: self.submit(rows, batch_id)
-        return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        """Every batch of a stream analysed, stored and told to the listeners, until all that is there has been read.
+
+        What runs along a session (language in charge, mood, topics) is kept as state from batch to batch. Pseudonyms
+        are numbered in a batch, so with redact_at_source in that mode each batch is analysed by itself.
+        """
+        p = self.settings.privacy
+        if p.redact_at_source and p.mode == "pseudonym":
+            return streaming.sink(stream, self.submit, checkpoint)
+        lines = self.scrub(stream) if p.redact_at_source else stream
+        return streaming.sink(carried.analyse_stream(lines, self.toggles(), self.translator), self._keep, checkpoint)
 
     def stored(self, name: str) -> DataFrame:
         return store.stored(self.spark, self.settings.store.folder, name)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,29 +77,33 @@ def detect(text: Column, default: str = "en") -> Column:
     return bound(F.reverse(F.array_sort(scores(text))), pick)
 
 
+def in_charge(recent, now: str) -> str:
+    """The language after the last lines (code, confidence): the leader of their sums if it leads the one now by LEAD."""
+    rank = {code: i for i, code in enumerate(MARKERS)}
+    tally: dict[str, float] = {}
+    for code, confidence in recent:
+        tally[code] = tally.get(code, 0.0) + confidence
+    lead = min(tally, key=lambda c: (-tally[c], rank.get(c, len(rank))))
+    return lead if lead != now and tally[lead] - tally.get(now, 0.0) >= LEAD else now
+
+
 def sticky(lines: DataFrame, default: str = "en") -> DataFrame:
     """lines (session_id, seq, code, confidence) with current: a language takes over when it leads the one in charge
     by LEAD in the summed confidence of the last lines. One fold over the lines in order, whatever the length of a
     session; a task keeps the last lines of one session."""
-    rank = {code: i for i, code in enumerate(MARKERS)}
 
-    def fold(batches):
+    def fold(batches):  # Arrow, so that no other column changes its type
         session, now, recent = object(), default, deque(maxlen=WINDOW)
         for part in batches:
             out = []
-            for key, code, confidence in zip(part["session_id"], part["code"], part["confidence"], strict=True):
+            for key, code, confidence in zip(*(part.column(c).to_pylist() for c in ("session_id", "code", "confidence")), strict=True):
                 if key != session:
                     session, now = key, default
                     recent.clear()
                 recent.append((code, confidence))
-                tally: dict[str, float] = {}
-                for c, x in recent:
-                    tally[c] = tally.get(c, 0.0) + x
-                lead = min(tally, key=lambda c: (-tally[c], rank.get(c, len(rank))))
-                if lead != now and tally[lead] - tally.get(now, 0.0) >= LEAD:
-                    now = lead
+                now = in_charge(recent, now)
                 out.append(now)
-            yield part.assign(current=out)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, "current"])
 
     ordered = lines.repartition("session_id").sortWithinPartitions("session_id", "seq")
-    return ordered.mapInPandas(fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema) + ", current string")
+    return ordered.mapInArrow(fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema) + ", current string")

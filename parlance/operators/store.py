@@ -61,17 +61,39 @@ LINES = "session_id string, seq int, text string, started_at double, ended_at do
 TABLES = ("transcript", "action_items", "entities", "topics")
 
 
-def append(folder: str, batch_id: int, tables: dict[str, DataFrame]) -> None:
-    """The rows of one batch into the tables (TABLES) below folder, each batch in a folder of its own, so that a batch
-    that is written again, after a failure, replaces itself and no row comes twice."""
-    for name, rows in tables.items():
-        if name not in TABLES:
-            raise ValueError(f"unknown table {name!r}; known: {', '.join(TABLES)}")
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
+def append(folder: str, batch_id: int, analysed: DataFrame) -> DataFrame:
+    """The analysed lines of one batch, written once and read back.
+
+    One write in a folder of its own holds a line with all that belongs to it, and its mark of success is the commit:
+    a reader sees all tables of a batch or none, and a batch that is written again, after a failure, replaces itself.
+    """
+    path = f"{folder}/lines/batch_id={batch_id}"
+    analysed.write.mode("overwrite").parquet(path)
+    return analysed.sparkSession.read.schema(analysed.schema).parquet(path)
+
+
+def committed(spark: SparkSession, folder: str) -> list[str]:
+    """The folders of the batches that were written to the end."""
+    jvm = spark.sparkContext._jvm
+    marks = jvm.org.apache.hadoop.fs.Path(f"{folder}/lines/batch_id=*/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
+    return sorted(str(f.getPath().getParent().toString()) for f in found or [])
 
 
 def stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}").drop("batch_id")
+    """A table (TABLES) of the committed batches."""
+    from parlance.operators import analyse
+
+    if name not in TABLES:
+        raise ValueError(f"unknown table {name!r}; known: {', '.join(TABLES)}")
+    paths = committed(spark, folder)
+    if not paths:
+        raise ValueError(f"nothing is stored in {folder}")
+    rows = spark.read.parquet(*paths)
+    if name != "transcript":
+        return analyse.children(rows)[name]
+    return rows.withColumn("compound", F.col("sentiment.compound")).withColumn("label", F.col("sentiment.label"))
+
 
 
 def load_session(lines: DataFrame, session_id, limit: int = 1_000) -> DataFrame:
