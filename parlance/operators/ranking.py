@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from parlance.functions import text as T
-from parlance.functions.sentiment import bound
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 40, 1e-5
 
@@ -33,38 +34,88 @@ def edges(sentences: DataFrame) -> DataFrame:
     return met.select("session_id", "i", "j", weight.alias("weight"))
 
 
-def text_rank(lines: DataFrame, k: int = 5, language: str = "en") -> DataFrame:
-    """session_id, position, sentence, score, rank of the k best sentences. A sentence's inbound weight c (each edge
-    over its other end's total) is fixed, and scores turn by x = (1 - d) / n + d * c * x, scaled to sum 1 each turn."""
-    s = sentence_table(lines, language)
-    e = edges(s)
-    both = e.select("session_id", F.col("i").alias("u"), F.col("j").alias("v"), "weight").unionAll(e.select("session_id", F.col("j").alias("u"), F.col("i").alias("v"), "weight"))
-    total = both.groupBy("session_id", F.col("u").alias("v")).agg(F.sum("weight").alias("out"))
-    inbound = both.join(total, ["session_id", "v"]).groupBy("session_id", F.col("u").alias("position")).agg(F.sum(F.col("weight") / F.col("out")).alias("c"))
-    rows = s.select("session_id", "position").join(inbound, ["session_id", "position"], "left")
-    places = F.array_sort(F.collect_list(F.struct("position", F.coalesce("c", F.lit(0.0)).alias("c"))))
-    scored = rows.groupBy("session_id").agg(places.alias("p")).select("session_id", F.explode(F.zip_with("p", turned(F.transform("p", lambda q: q["c"])), lambda q, x: F.struct(q["position"].alias("position"), x.alias("score")))).alias("x"))
-    best = W.partitionBy("session_id").orderBy(F.desc("score"), "position")
-    top = scored.select("session_id", F.col("x.position").alias("position"), F.col("x.score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return top.join(s.select("session_id", "position", "sentence"), ["session_id", "position"]).select("session_id", "position", "sentence", "score", "rank")
+def inbound(sentences: DataFrame) -> DataFrame:
+    """session_id, position, c of the sentences that share a word with another: the sum over the others of the edge's
+    weight over the other's total weight.
 
+    No two sentences meet. An edge's weight is a sum over shared words of 1 / (log n + log m), which depends on the
+    lengths n and m alone, so that a word's part in the totals comes from how many of its sentences have each length,
+    and its part in c from the sum of 1 / total at each length, both less the sentence itself. A word of any number of
+    sentences is a few rows, one for each length.
+    """
+    key = ["session_id", "word"]
+    parts = sentences.select("session_id", "position", F.size("words").alias("n"), F.explode(F.array_distinct("words")).alias("word"))
+    span = lambda x, y: F.log(x["n"] + 1.0) + F.log(y["n"] + 1.0)
+    weigh = lambda size: lambda x: F.struct(
+        x["n"].alias("n"), F.aggregate("lengths", F.lit(0.0), lambda t, y: t + size(x, y) / span(x, y)).alias("part"), x["amount"].alias("amount"), x["count"].alias("count")
+    )
+
+    def by_length(rows: DataFrame, amount: Column, size) -> DataFrame:
+        lengths = rows.groupBy(*key, "n").agg(amount.alias("amount"), F.count("*").alias("count"))
+        words = lengths.groupBy(*key).agg(F.collect_list(F.struct("n", "amount", "count")).alias("lengths"), F.sum("count").alias("holders"))
+        return words.where("holders > 1").select(*key, F.explode(F.transform("lengths", weigh(size))).alias("x")).select(*key, "x.*")
+
+    parts = parts.repartition(*key, "n")
+    others = by_length(parts, F.lit(0.0), lambda x, y: (y["count"] - F.when(x["n"] == y["n"], 1).otherwise(0)).cast("double"))
+    met = parts.join(others.select(*key, "n", "part"), [*key, "n"])
+    total = met.groupBy("session_id", "position").agg(F.sum("part").alias("total"))
+    back = met.drop("part").join(total, ["session_id", "position"]).withColumn("one", 1 / F.col("total"))
+    masses = by_length(back, F.sum("one"), lambda x, y: F.when(x["n"] == y["n"], 0.0).otherwise(y["amount"]))
+    same = F.when(F.col("count") > 1, F.col("amount") - F.col("one")).otherwise(0.0) / (2 * F.log(F.col("n") + 1.0))
+    return back.join(masses, [*key, "n"]).groupBy("session_id", "position").agg(F.sum(F.col("part") + same).alias("c"))
+
+
+def _sessions(batches):
+    """(session, positions, inbound weights) of the sessions of a sorted partition."""
+    session, position, c = None, [], []
+    for batch in batches:
+        keys = batch["session_id"].to_numpy()
+        for at in np.split(np.arange(len(keys)), np.flatnonzero(keys[1:] != keys[:-1]) + 1) if len(keys) else []:
+            if position and keys[at[0]] != session:
+                yield session, np.concatenate(position), np.concatenate(c)
+                position, c = [], []
+            session = keys[at[0]]
+            position.append(batch["position"].to_numpy()[at])
+            c.append(batch["c"].to_numpy()[at])
+    if position:
+        yield session, np.concatenate(position), np.concatenate(c)
+
+
+def _frames(rows, columns: list[str], size: int = 5000):
+    rows = iter(rows)
+    while part := list(islice(rows, size)):
+        yield pd.DataFrame(part, columns=columns)
 
-def turned(c: Column) -> Column:
-    """The scores of a session's sentences from their inbound weights: turns until they move by less than TOLERANCE."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    n = F.size(c)
-    start = F.struct(F.transform(c, lambda _: F.lit(1.0) / n).alias("x"), F.lit(False).alias("done"))
 
-    def step(now: Column, _: Column) -> Column:
-        raw = F.zip_with(c, now["x"], lambda w, x: F.lit(1 - DAMPING) / n + DAMPING * w * x)
+def text_rank(lines: DataFrame, k: int = 5, language: str = "en") -> DataFrame:
+    """session_id, position, sentence, score, rank of the k best sentences. A sentence's inbound weight c is fixed, and
+    scores turn by x = (1 - d) / n + d * c * x, scaled to sum 1 each turn; a task has the numbers of one session."""
+    s = sentence_table(lines, language)
+    rows = s.select("session_id", "position").join(inbound(s), ["session_id", "position"], "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
 
-        def after(new: Column) -> Column:
-            moved = total(F.zip_with(new, now["x"], lambda a, b: F.abs(a - b)))
-            return F.struct(new.alias("x"), (moved < TOLERANCE).alias("done"))
+    def best(batches):
+        for session, position, c in _sessions(batches):
+            score = turned(c)
+            order = np.lexsort((position, -score.round(12)))[:k]
+            yield from ((session, int(position[i]), float(score[i]), rank) for rank, i in enumerate(order, 1))
 
-        return F.when(now["done"] | (n < 2), now).otherwise(bound(raw, lambda r: bound(total(r), lambda t: bound(F.transform(r, lambda x: x / t), after))))
+    kind = lines.schema["session_id"].dataType.simpleString()
+    ordered = rows.select("session_id", "position", "c").repartition("session_id").sortWithinPartitions("session_id", "position")
+    top = ordered.mapInPandas(lambda batches: _frames(best(batches), ["session_id", "position", "score", "rank"]), f"session_id {kind}, position int, score double, rank int")
+    return top.join(s.select("session_id", "position", "sentence"), ["session_id", "position"]).select("session_id", "position", "sentence", "score", "rank")
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda now: now["x"])
+
+def turned(c: np.ndarray) -> np.ndarray:
+    """The scores of a session's sentences from their inbound weights: turns until they move by less than TOLERANCE."""
+    n = len(c)
+    x = np.full(n, 1.0 / n)
+    for _ in range(ROUNDS if n > 1 else 0):
+        new = (1 - DAMPING) / n + DAMPING * c * x
+        new /= new.sum()
+        x, moved = new, np.abs(new - x).sum()
+        if moved < TOLERANCE:
+            break
+    return x
 
 
 _SPLIT = re.compile(r"[^^\w'\-]+|[\d_]+")
