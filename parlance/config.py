@@ -68,6 +68,7 @@ class Store:
     folder: str = ""
     transcript_lines: int = 5_000
     timeline_lines: int = 2_000
+    index: bool = False  # of the words of stored lines, for Engine.search_stored
 
 
 @dataclass

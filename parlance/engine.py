@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance import config, plugins, streaming
-from parlance.operators import analyse, digest, exports, insights, notes, redaction, search, store
+from parlance.operators import analyse, digest, exports, insights, notes, redaction, search, search_index, store
 from parlance.streaming import carried
 
 log = logging.getLogger("parlance")
@@ -73,6 +73,8 @@ class Engine:
         """Analysed lines to the store, once, and from there to the listeners."""
         if self.settings.store.folder and batch_id is not None:
             found = store.append(self.settings.store.folder, batch_id, found)
+            if self.settings.store.index:
+                search_index.add(found, f"{self.settings.store.folder}/index", str(batch_id))
         self._emit("transcript", found)
         self._emit("actions", analyse.children(found)["action_items"])
         return found
@@ -98,6 +100,11 @@ class Engine:
     def search(self, lines: DataFrame, sessions: DataFrame, query: str, k: int = 20) -> DataFrame:
         return search.search_sessions(lines, sessions, query, k)
 
+    def search_stored(self, sessions: DataFrame, query: str, k: int = 20, without: str | None = None) -> DataFrame:
+        """search() of all stored lines, from their index."""
+        index = search_index.Index(self.spark, f"{self.settings.store.folder}/index")
+        return search.search_sessions(self.stored("transcript"), sessions, query, k, without, index)
+
     def review(self, sessions: DataFrame, lines: DataFrame, actions: DataFrame, entities: DataFrame, as_of: float) -> dict[str, DataFrame]:
         return insights.review(sessions, lines, actions, entities, as_of)
 

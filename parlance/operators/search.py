@@ -16,8 +16,7 @@ def words(text: Column) -> Column:
 
 
 def token_table(lines: DataFrame) -> DataFrame:
-    """The inverted index: session_id, seq, word, tf, length. Written once, partitioned or bucketed by word, it serves
-    every search below by a filter on word."""
+    """session_id, seq, word, tf, length of every word of a line. search_index keeps an index that is searched."""
     sized = lines.select("session_id", "seq", words(F.col("text")).alias("words")).where(F.size("words") > 0)
     parts = sized.select("session_id", "seq", F.size("words").alias("length"), F.explode("words").alias("word"))
     return parts.groupBy("session_id", "seq", "length", "word").agg(F.count("*").alias("tf"))
@@ -64,12 +63,16 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return top.select("session_id", "seq", "score", F.when(best > 0, F.col("score") / best).otherwise(1.0).alias("relevance"), F.row_number().over(W.orderBy(*order)).alias("rank"))
 
 
-def search_sessions(lines: DataFrame, sessions: DataFrame, query: str, k: int = 20, without: str | None = None) -> DataFrame:
+def search_sessions(lines: DataFrame, sessions: DataFrame, query: str, k: int = 20, without: str | None = None, index=None) -> DataFrame:
     """bm25() of a query as typed over all sessions: every word a prefix, quotes taken off, with the session's name and
-    the line marked. without leaves the session at hand out. An empty query finds nothing."""
+    the line marked. without leaves the session at hand out. An empty query finds nothing. With a search_index.Index of
+    the lines the hits come from it, and lines give their texts alone."""
     terms = query_terms(query)
     pool = lines if without is None else lines.where(F.col("session_id") != without)
-    hits = bm25(pool, terms, k) if terms else bm25(pool.limit(0), ["x"], k)
+    if index is not None:
+        hits = index.bm25(terms, k, without)
+    else:
+        hits = bm25(pool, terms, k) if terms else bm25(pool.limit(0), ["x"], k)
     named = hits.join(lines.select("session_id", "seq", "text"), ["session_id", "seq"])
     named = named.join(F.broadcast(sessions.select("session_id", F.col("name").alias("session_name"))), "session_id", "left") if sessions is not None else named
     return named.withColumn("marked", T.highlight(F.col("text"), terms)).withColumn("snippet", snippet(F.col("text"), terms))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from parlance.audio import signal, speakers
 from parlance.functions import sentiment as S
-from parlance.operators import digest, entities, insights, notes, redaction, search, store
+from parlance.operators import digest, entities, insights, notes, redaction, search, search_index, store
 from parlance.plans.analytics import _SCORED, _polarity_sql
 from parlance.plans.catalogue import _ACTIONS, actions
-from parlance.plans.registry import _LINES, _TIMED, SQL, lines, query
+from parlance.plans.registry import _LINES, _TIMED, SQL, lines, query, workspace
 from parlance.sources import recordings
 from parlance.sources import transcripts as src
 
@@ -268,6 +268,16 @@ def search_all_sessions(spark, sf_dir):
     return out.select("session_id", "seq", "rank", "session_name", "marked")
 
 
+@query(SQL["bm25_search"])
+def indexed_search(spark, sf_dir):
+    """bm25_search from an index written of all lines, in two parts, and searched as stored."""
+    folder, said = workspace(spark), lines(spark, sf_dir)
+    for i in range(2):
+        search_index.add(said.where(F.col("session_id") % 2 == i), folder, str(i))
+    hits = search_index.Index(spark, folder).bm25(["send", "order"])
+    return hits.select("session_id", "seq", F.round("score", 6).alias("score"), "rank")
+
+
 @query(_TIMED + "," + _polarity_sql("timed", "session_id, seq") + """ SELECT t.session_id, t.seq, 'en' AS language_used, round(compound, 4) AS compound, contains(text, 'Chen') OR contains(text, 'Nair') AS has_person
 FROM timed t JOIN scored USING (session_id, seq) WHERE NOT starts_with(text, 'La fecha')""")
 def analysed_lines(spark, sf_dir):
