@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.audio import signal
@@ -148,24 +149,31 @@ def split_voices(segment: dict, rate: int = signal.RATE, threshold: float = 0.35
     return [segment | {"samples": samples[:at], "ended_at": cut, "reason": "speaker_change"}, segment | {"samples": samples[at:], "started_at": cut}]
 
 
+def _parts(found: dict, gate: Gate, voices: bool) -> list[dict]:
+    return split_voices(found, gate.rate) if voices and found["is_final"] else [found]
+
+
 def segments(blocks: DataFrame, gate: Gate = Gate(), voices: bool = False) -> DataFrame:  # noqa: B008
     """blocks (stream_id, block_no, samples) -> stream_id and SCHEMA. Blocks of a stream come in order through one
-    task, block by block; what is open at a stream's end is given out."""
+    task, block by block; what is open at a stream's end is given out. A block that is there twice counts once; one that
+    is missing leaves no gap."""
     kind = dict(blocks.dtypes)["stream_id"]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, machine, out = None, None, []
+        stream, machine, before, out = None, None, None, []
 
         def add(found, key):
-            for s in split_voices(found, gate.rate) if voices and found["is_final"] else [found]:
-                out.append({"stream_id": key, **s})
+            out.extend({"stream_id": key, **s} for s in _parts(found, gate, voices))
 
         for part in batches:
-            for key, samples in zip(part["stream_id"], part["samples"], strict=True):
+            for key, no, samples in zip(part["stream_id"], part["block_no"], part["samples"], strict=True):
                 if machine is None or key != stream:
                     if machine and (last := machine.flush()):
                         add(last, stream)
-                    stream, machine = key, Segmenter(gate)
+                    stream, machine, before = key, Segmenter(gate), None
+                if no == before:
+                    continue
+                before = no
                 for found in machine.push(samples if samples is not None else []):
                     add(found, key)
             if out:
@@ -179,28 +187,73 @@ def segments(blocks: DataFrame, gate: Gate = Gate(), voices: bool = False) -> Da
     return ordered.mapInPandas(run, f"stream_id {kind}, {SCHEMA}")
 
 
-def streamed(blocks: DataFrame, gate: Gate = Gate()) -> DataFrame:  # noqa: B008
-    """segments() of a streaming DataFrame (stream_id string, block_no, samples, last boolean): the machine of each
-    stream is its state. Blocks that come before an earlier one wait for it; a block with last true ends its stream.
-    The state holds one open segment and the blocks that wait."""
+#: Blocks that wait for a missing one before it is given up.
+PATIENCE = 64
+
+
+@dataclass
+class Reordered:
+    """Blocks by number, in order, to a machine. A missing one is waited for until `patience` later ones are there, then
+    left out; one that comes after its place has passed, a repeat too, is dropped."""
+
+    machine: Segmenter
+    patience: int = PATIENCE
+    following: int = 0
+    ends: int | None = None
+    waiting: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def put(self, no: int, samples, last: bool) -> None:
+        if last:
+            self.ends = no if self.ends is None else min(self.ends, no)
+        if no >= self.following:
+            self.waiting.setdefault(no, np.asarray(samples if samples is not None else [], np.float32))
+
+    def ready(self, all_of_them: bool = False) -> Iterator[dict]:
+        while self.waiting and not self.ended:
+            if self.following not in self.waiting:
+                if not all_of_them and len(self.waiting) <= self.patience:
+                    return
+                self.following = min(self.waiting)
+            samples = self.waiting.pop(self.following)
+            self.following += 1
+            yield from self.machine.push(samples)
+
+    @property
+    def ended(self) -> bool:
+        return self.ends is not None and self.following > self.ends
+
+
+def streamed(blocks: DataFrame, gate: Gate = Gate(), voices: bool = False, idle: float | None = None, late: float = 10.0, patience: int = PATIENCE) -> DataFrame:  # noqa: B008
+    """segments() of a streaming DataFrame (stream_id string, block_no from 0, samples, last boolean): the machine of each
+    stream is its state, one open segment and at most `patience` blocks that wait for an earlier one.
+
+    A block with last true ends its stream. With idle, blocks also have `at`, a timestamp: a stream without a new block
+    for idle seconds of event time (late more before the watermark passes) gives out what waits and what is open, and its
+    state goes. A later block of it begins a new recording, numbered from 0 again.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine, following, waiting = pickle.loads(state.get[0]) if state.exists else (Segmenter(gate), 0, {})
+        order = pickle.loads(state.get[0]) if state.exists else Reordered(Segmenter(gate), patience)
+        newest, out = state.get[1] if state.exists else 0, []
         for part in parts:
             for no, samples, last in zip(part["block_no"], part["samples"], part["last"], strict=True):
-                waiting[int(no)] = (np.asarray(samples if samples is not None else [], np.float32), bool(last))
-        out, ended = [], False
-        while following in waiting and not ended:
-            samples, ended = waiting.pop(following)
-            following += 1
-            out += machine.push(samples)
-        if ended:
-            last = machine.flush()
+                order.put(int(no), samples, bool(last))
+            out += order.ready()
+            if idle is not None and len(part):
+                newest = max(newest, int(part["at_ms"].max()))
+        if state.hasTimedOut:
+            out += order.ready(all_of_them=True)
+        if state.hasTimedOut or order.ended:
+            last = order.machine.flush()
             out += [last] if last else []
             state.remove()
         else:
-            state.update((pickle.dumps((machine, following, waiting)),))
+            state.update((pickle.dumps(order), newest))
+            if idle is not None:
+                state.setTimeoutTimestamp(max(newest + int(idle * 1000), state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame([{"stream_id": key[0], **s} for s in out], columns=["stream_id", *_COLUMNS])
+            yield pd.DataFrame([{"stream_id": key[0], **s} for found in out for s in _parts(found, gate, voices)], columns=["stream_id", *_COLUMNS])
 
-    return blocks.groupBy("stream_id").applyInPandasWithState(step, f"stream_id string, {SCHEMA}", "machine binary", "append", GroupStateTimeout.NoTimeout)
+    rows = blocks if idle is None else blocks.withWatermark("at", f"{late} seconds").withColumn("at_ms", F.unix_millis("at"))
+    how = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("stream_id").applyInPandasWithState(step, f"stream_id string, {SCHEMA}", "machine binary, newest long", "append", how)

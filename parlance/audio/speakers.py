@@ -47,7 +47,7 @@ class Tracker:
         order = np.argsort(-products, kind="stable")
         best = products[order[0]] if len(order) else 0.0
         if not len(order) or (best < self.threshold and len(order) < self.room):
-            name = f"Speaker {chr(ord('A') + len(self.names) % 26)}"
+            name = self._name()
             self.names.append(name)
             self.centroids.append(v.copy())
             return name, float(best), True, 1.0
@@ -57,30 +57,74 @@ class Tracker:
         return self.names[i], float(best), False, float(np.clip(2 * (best - second if second > 0 else best), 0, 1))
 
 
+    def _name(self) -> str:
+        """The next letter that no voice has, also where known voices came first."""
+        letters = [chr(ord("A") + (len(self.names) + i) % 26) for i in range(26)]
+        return next((n for n in map("Speaker {}".format, letters) if n not in self.names), f"Speaker {letters[0]}")
+
+    def hear(self, vector) -> tuple[str | None, float, bool, float, list[float] | None]:
+        """assign(), and the voice as it is after that; nothing for a row without a vector."""
+        if vector is None:
+            return None, 0.0, False, 0.0, None
+        found = self.assign(vector)
+        return *found, self.centroids[self.names.index(found[0])].tolist()
+
+
+HEARD = "speaker string, similarity double, is_new boolean, confidence double, centroid array<float>"
+
+
+def known_voices(profiles: DataFrame | None) -> list[tuple[str, list[float]]]:
+    """label and centroid of at most MAX_PROFILES profiles, by label: what every session starts with."""
+    rows = [] if profiles is None else profiles.select("label", "centroid").orderBy("label").limit(MAX_PROFILES + 1).collect()
+    if len(rows) > MAX_PROFILES:
+        raise ValueError(f"more than {MAX_PROFILES} profiles")
+    return [(r.label, list(r.centroid)) for r in rows]
+
+
+def tracker(known: list[tuple[str, list[float]]], threshold: float, room: int, rate: float) -> Tracker:
+    return Tracker(threshold, room, rate, [n for n, _ in known], [np.asarray(c, np.float32) for _, c in known])
+
+
 def blend(centroid: np.ndarray, vector: np.ndarray, rate: float) -> np.ndarray:
     both = (1 - rate) * centroid + rate * vector
     size = np.linalg.norm(both)
     return (both / size).astype(np.float32) if size > 0 else centroid
 
 
-def clusters(vectors: DataFrame, threshold: float = 0.72, room: int = 8, rate: float = 0.25) -> DataFrame:
+def clusters(vectors: DataFrame, threshold: float = 0.72, room: int = 8, rate: float = 0.25, profiles: DataFrame | None = None, moved: bool = False) -> DataFrame:
     """vectors (session_id, seq, embedding) -> session_id, seq, speaker, similarity, is_new, confidence, told apart in
-    order; a row without a vector has no speaker. A task keeps the voices of one session, `room` at most."""
+    order; a row without a vector has no speaker. Every session starts with the voices of profiles, which count towards
+    `room`. With moved also centroid, the speaker's voice after the row. A task keeps the voices of one session."""
     kind = dict(vectors.dtypes)["session_id"]
+    known = known_voices(profiles)
+    names = ["session_id", "seq", *[c.split()[0] for c in HEARD.split(", ")]]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, tracker = object(), Tracker(threshold, room, rate)
+        session, voices = object(), None
         for part in batches:
             out = []
             for key, seq, v in zip(part["session_id"], part["seq"], part["embedding"], strict=True):
                 if key != session:
-                    session, tracker = key, Tracker(threshold, room, rate)
-                found = (None, 0.0, False, 0.0) if v is None else tracker.assign(v)
-                out.append((key, seq, *found))
-            yield pd.DataFrame(out, columns=["session_id", "seq", "speaker", "similarity", "is_new", "confidence"])
+                    session, voices = key, tracker(known, threshold, room, rate)
+                out.append((key, seq, *voices.hear(v)))
+            yield pd.DataFrame(out, columns=names)
 
     ordered = vectors.select("session_id", F.col("seq").cast("int"), "embedding").repartition("session_id").sortWithinPartitions("session_id", "seq")
-    return ordered.mapInPandas(run, f"session_id {kind}, seq int, speaker string, similarity double, is_new boolean, confidence double")
+    told = ordered.mapInPandas(run, f"session_id {kind}, seq int, {HEARD}")
+    return told if moved else told.drop("centroid")
+
+
+def voices(heard: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """session_id and PROFILES from rows with session_id, seq, speaker, centroid and seconds: each voice as its last row
+    left it, with the segments and seconds of the profile it started from added."""
+    out = heard.where("speaker is not null").groupBy("session_id", F.col("speaker").alias("label")).agg(
+        F.max_by("centroid", "seq").alias("centroid"), F.count("*").cast("int").alias("segments"), F.coalesce(F.sum("seconds"), F.lit(0.0)).cast("double").alias("total_seconds")
+    )
+    if profiles is None:
+        return out
+    before = profiles.select("label", F.col("segments").alias("_n"), F.col("total_seconds").alias("_s"))
+    more = lambda c, old, none: (F.col(c) + F.coalesce(old, F.lit(none))).alias(c)
+    return out.join(before, "label", "left").select("session_id", "label", "centroid", more("segments", "_n", 0), more("total_seconds", "_s", 0.0))
 
 
 def save_profiles(profiles: DataFrame, path: str) -> None:
