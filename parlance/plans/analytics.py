@@ -21,13 +21,18 @@ def _quoted(words) -> str:
 _STOP = _quoted(T.STOPWORDS)
 
 
-def _polarity_sql(source: str, keys: str) -> str:
-    """CTEs up to `scored` (keys, compound): the English lexicon over source (keys, text)."""
-    values = ", ".join(f"({_quoted([w])}, {v}::DOUBLE)" for w, v in lexicons.VALENCES["en"].items())
-    boosts = ", ".join(f"({_quoted([w])}, {v}::DOUBLE)" for w, v in lexicons.BOOSTERS["en"].items())
-    negative = _quoted(lexicons.NEGATIONS["en"].split())
+def _polarity_sql(source: str, keys: str, spoken: str = "'en'") -> str:
+    """CTEs up to `scored` (keys, compound): source (keys, text) by the lexicon of the code that spoken says; that is
+    one of keys, or English."""
+    codes = ["en"] if spoken == "'en'" else list(lexicons.VALENCES)
+    rows = lambda code, table: (f"('{code}', {_quoted([w])}, {v}::DOUBLE)" for w, v in table.items())
+    values = ", ".join(r for c in codes for r in rows(c, lexicons.VALENCES[c]))
+    boosts = ", ".join(r for c in codes for r in rows(c, lexicons.BOOSTERS.get(c, lexicons.BOOSTERS["en"])))
+    negative = _quoted(f"{c} {w}" for c in codes for w in lexicons.NEGATIONS.get(c, lexicons.NEGATIONS["en"]).split())
+    negated = " OR ".join(f"concat({spoken}, ' ', p{i}) IN ({negative})" for i in (1, 2, 3))
+    boosted = " ".join(f"LEFT JOIN boost b{i} ON b{i}.word = p{i} AND b{i}.code = {spoken}" for i in (1, 2, 3))
     return f"""
-lex(word, v) AS (VALUES {values}), boost(word, b) AS (VALUES {boosts}),
+lex(code, word, v) AS (VALUES {values}), boost(code, word, b) AS (VALUES {boosts}),
 split AS (SELECT {keys}, text, regexp_extract_all(text, '[A-Za-z'']+|[!?]+') AS t FROM {source}),
 tok AS (SELECT {keys}, unnest(t) AS raw, generate_subscripts(t, 1) AS i FROM split),
 prev AS (SELECT *, lower(raw) AS w, lag(lower(raw), 1) OVER o AS p1, lag(lower(raw), 2) OVER o AS p2, lag(lower(raw), 3) OVER o AS p3,
@@ -38,11 +43,11 @@ prev AS (SELECT *, lower(raw) AS w, lag(lower(raw), 1) OVER o AS p1, lag(lower(r
 val AS (SELECT {keys}, i, but,
   (lex.v + sign(lex.v) * (CASE WHEN caps > 0 AND caps < alpha AND raw = upper(raw) THEN 0.733 ELSE 0 END
    + coalesce(b1.b, 0) + coalesce(b2.b, 0) * 0.85 + coalesce(b3.b, 0) * 0.7))
-  * CASE WHEN p1 IN ({negative}) OR p2 IN ({negative}) OR p3 IN ({negative}) THEN -0.74 ELSE 1 END
+  * CASE WHEN {negated} THEN -0.74 ELSE 1 END
   * CASE WHEN but IS NULL THEN 1 WHEN i < but THEN 0.5 ELSE 1.5 END AS v
-  FROM prev JOIN lex ON lex.word = w LEFT JOIN boost b1 ON b1.word = p1 LEFT JOIN boost b2 ON b2.word = p2 LEFT JOIN boost b3 ON b3.word = p3),
-total AS (SELECT {keys}, sum(v) AS x FROM val GROUP BY {keys}),
-marked AS (SELECT s.*, x, least(len(regexp_replace(text, '[^!]', '', 'g')), 4) * 0.292
+  FROM prev JOIN lex ON lex.word = w AND lex.code = {spoken} {boosted}),
+total AS (SELECT {keys}, sum(v) AS x, sum(v + 1) FILTER (WHERE v > 0) AS up, -sum(v - 1) FILTER (WHERE v < 0) AS down, count(*) AS hits FROM val GROUP BY {keys}),
+marked AS (SELECT s.*, x, coalesce(up, 0) AS up, coalesce(down, 0) AS down, len(t) - hits AS rest, least(len(regexp_replace(text, '[^!]', '', 'g')), 4) * 0.292
   + CASE WHEN len(regexp_replace(text, '[^?]', '', 'g')) > 1 THEN least(len(regexp_replace(text, '[^?]', '', 'g')), 3) * 0.18 ELSE 0 END AS stress
   FROM split s LEFT JOIN total USING ({keys})),
 scored AS (SELECT {keys}, CASE WHEN x IS NULL THEN 0 ELSE (x + CASE WHEN x >= 0 THEN stress ELSE -stress END)
@@ -50,6 +55,11 @@ scored AS (SELECT {keys}, CASE WHEN x IS NULL THEN 0 ELSE (x + CASE WHEN x >= 0
 
 
 _SCORED = _LINES + "," + _polarity_sql("lines", "session_id, seq")
+_PART = "round(CASE WHEN x IS NULL THEN {none} ELSE {c} / (up + down + rest) END, 4) AS {name}"
+SQL["sentiment_lines"] = _SCORED + f""", s AS (SELECT session_id, seq, round(compound, 4) AS compound, {_PART.format(c="up", none=0, name="positive")}, {_PART.format(c="down", none=0, name="negative")},
+  {_PART.format(c="rest", none=1, name="neutral")}, CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM scored JOIN marked USING (session_id, seq)),
+r AS (SELECT *, list(compound) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS v FROM s)
+SELECT * EXCLUDE (v), round(list_avg(v), 8) AS rolling, round(CASE WHEN len(v) < 4 THEN 0 ELSE list_avg(v[len(v) // 2 + 1 : len(v)]) - list_avg(v[1 : len(v) // 2]) END, 8) AS momentum FROM r"""
 
 
 def _polarity(spark, sf_dir):
@@ -106,17 +116,25 @@ def language_confusion(spark, sf_dir):
 
 
 _SAID = "said AS (SELECT conv_id AS session_id, CAST(turn + 1 AS INT) AS seq, text FROM conversations)"
-SQL["sticky_language"] = f"""WITH RECURSIVE {_SAID}, {_language_sql('said', 'session_id, seq')},
+
+
+def _sticky_sql(source: str) -> str:
+    """CTEs up to `guess` and `told` (session_id, seq, current): the language in charge along source."""
+    return f"""{_language_sql(source, 'session_id, seq')},
 ordered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS k FROM guess),
 codes(code, rank) AS (VALUES {', '.join(f"('{c}', {i})" for i, c in enumerate(L.MARKERS))}),
-tally AS (SELECT a.session_id, a.k, c.code, c.rank, coalesce(sum(b.confidence) FILTER (WHERE b.code = c.code), 0) AS score
+tally AS MATERIALIZED (SELECT a.session_id, a.k, c.code, c.rank, coalesce(sum(b.confidence) FILTER (WHERE b.code = c.code), 0) AS score
   FROM ordered a CROSS JOIN codes c JOIN ordered b ON b.session_id = a.session_id AND b.k BETWEEN a.k - 4 AND a.k GROUP BY ALL),
-lead AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, k ORDER BY score DESC, rank) AS r FROM tally) WHERE r = 1),
+lead AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, k ORDER BY score DESC, rank) AS r FROM tally) WHERE r = 1),
 fold AS (
   SELECT session_id, CAST(0 AS BIGINT) AS k, 'en' AS current FROM (SELECT DISTINCT session_id FROM ordered)
   UNION ALL
   SELECT f.session_id, f.k + 1, CASE WHEN l.code <> f.current AND l.score - t.score >= 0.15 THEN l.code ELSE f.current END
-  FROM fold f JOIN lead l ON l.session_id = f.session_id AND l.k = f.k + 1 JOIN tally t ON t.session_id = f.session_id AND t.k = f.k + 1 AND t.code = f.current)
+  FROM fold f JOIN lead l ON l.session_id = f.session_id AND l.k = f.k + 1 JOIN tally t ON t.session_id = f.session_id AND t.k = f.k + 1 AND t.code = f.current),
+told AS (SELECT session_id, seq, current FROM ordered JOIN fold USING (session_id, k))"""
+
+
+SQL["sticky_language"] = f"""WITH RECURSIVE {_SAID}, {_sticky_sql('said')}
 SELECT o.session_id, o.seq, o.code, round(o.confidence, 8) AS confidence, f.current FROM ordered o JOIN fold f USING (session_id, k)"""
 
 
@@ -134,6 +152,36 @@ def rule_hits_union(spark, sf_dir):
     return found.select("session_id", "seq", "kind", "rule", "fragment")
 
 
+def _sql(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_HINT = "CASE WHEN {n0} THEN 0 WHEN {n3} THEN 3 WHEN {n2} THEN 2 ELSE 1 END".format(
+    **{f"n{n}": f"regexp_matches(lower(whole), '{'|'.join(w for w, v in T.PRIORITY_HINTS.items() if v == n)}')" for n in (0, 2, 3)}
+)
+
+
+def _due(said: str) -> str:
+    found = ", ".join(f"nullif(regexp_extract({said}, '(?i){_sql(p)}'), '')" for p in (T.RELATIVE_DATE, T.NUMERIC_DATE, T.TIME))
+    return f"trim(coalesce({found}))"
+
+
+SQL["find_due_date"] = _LINES + f" SELECT session_id, seq, {_due('text')} AS due FROM lines"
+_SAID_BY_RULE = {
+    "reminder": r"\bremind\s+(?:me|us|him|her|them)\s+to\s+([^.?!;\n]+)", "assignment": r"\b(?:can|could|will|would)\s+you\s+(?:please\s+)?([^.?!;\n]+)",
+    "deadline": r"\bdeadline\s+(?:is|was|will be)?\s*([^.?!;,\n]+?)(?:[.?!;,]|\s+and\b|\s+but\b|$)", "risk": r"\b(?:risk is|concern is|worried about|problem is)\s+([^.?!;\n]+)",
+    "blocker": r"\b(?:blocked (?:on|by)|blocker is|stuck on)\s+([^.?!;\n]+)", "decision": r"\bwe(?:'ve| have)?\s+decided\s+(?:to|that)\s+([^.?!;\n]+)",
+    "metric": r"\b((?:\$|€|£)?\d[\d,.]*\s*(?:%|percent|k|m|bn|million|billion|users|dollars)?)\b",
+}
+_HITS = " UNION ALL ".join(
+    f"SELECT *, '{r.kind}' AS kind, '{r.name}' AS rule, {r.confidence}::DOUBLE AS confidence, regexp_extract(text, '(?i){_sql(p)}') AS whole, regexp_extract(text, '(?i){_sql(p)}', 1) AS said FROM lines"
+    for name, p in _SAID_BY_RULE.items() for r in rules.RULES if r.name == name and r.language == "en"
+)
+SQL["rule_hits"] = _LINES + f""", h AS ({_HITS})
+SELECT session_id, seq, speaker, audio_seconds, line_id, kind, trim(said, ' ,;:-') AS fragment, rule, CAST(strpos(text, said) - 1 AS INT) AS start, CAST(strpos(text, said) - 1 + len(said) AS INT) AS "end", confidence,
+CAST({_HINT} AS INT) AS priority, {_due('whole')} AS due FROM h WHERE len(trim(said, ' ,;:-')) >= 3"""
+
+
 def _rule(name: str, sql: str):
     def run(spark, sf_dir):
         return rules.one_rule(lines(spark, sf_dir), name).select("session_id", "seq", "kind", "fragment", "priority", "due")

@@ -143,7 +143,7 @@ def infer_priority(spark, sf_dir):
     return lines(spark, sf_dir).groupBy(T.priority(F.col("text")).alias("hint")).agg(F.count("*").alias("lines"))
 
 
-@query(_LINES + " SELECT session_id, seq, CASE CAST(line_id % 8 AS INT) WHEN 1 THEN 'Friday' WHEN 5 THEN 'end of week' END AS due FROM lines")
+@query()
 def find_due_date(spark, sf_dir):
     return lines(spark, sf_dir).select("session_id", "seq", T.due_date(F.col("text")).alias("due"))
 
@@ -161,7 +161,8 @@ def rule_hits(spark, sf_dir):
 @query()
 def sentiment_lines(spark, sf_dir):
     scored = lines(spark, sf_dir).select("session_id", "seq", S.score(F.col("text")).alias("s")).select("session_id", "seq", "s.*")
-    return sequence.rolling(scored)
+    out = sequence.rolling(scored)
+    return out.withColumn("rolling", F.round("rolling", 8)).withColumn("momentum", F.round("momentum", 8))
 
 
 @query(_TIMED + """, r AS (SELECT session_id, seq, audio_seconds, list(audio_seconds) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS v FROM timed)

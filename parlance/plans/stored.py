@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.audio import signal, speakers
+from parlance.functions import language as L
+from parlance.functions import lexicons
 from parlance.functions import sentiment as S
 from parlance.operators import digest, entities, insights, notes, redaction, search, search_index, store
-from parlance.plans.analytics import _SCORED, _polarity_sql
+from parlance.plans.analytics import _SCORED, _polarity_sql, _sticky_sql
 from parlance.plans.catalogue import _ACTIONS, actions
 from parlance.plans.registry import _LINES, _TIMED, SQL, lines, query, workspace
 from parlance.sources import recordings
@@ -278,13 +280,19 @@ def indexed_search(spark, sf_dir):
     return hits.select("session_id", "seq", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_TIMED + "," + _polarity_sql("timed", "session_id, seq") + """ SELECT t.session_id, t.seq, 'en' AS language_used, round(compound, 4) AS compound, contains(text, 'Chen') OR contains(text, 'Nair') AS has_person
-FROM timed t JOIN scored USING (session_id, seq) WHERE NOT starts_with(text, 'La fecha')""")
+_LEXICON = ", ".join(f"'{code}'" for code in lexicons.VALENCES)
+_SERVED = ", ".join(f"'{code}'" for code in L.SUPPORTED)
+
+
+@query(_LINES.replace("WITH lines", "WITH RECURSIVE lines", 1) + f""", {_sticky_sql("lines")},
+heard AS (SELECT session_id, seq, text, CASE WHEN current IN ({_LEXICON}) THEN current ELSE 'en' END AS lang FROM lines JOIN told USING (session_id, seq)),
+{_polarity_sql("heard", "session_id, seq, lang", "lang")}
+SELECT session_id, seq, current AS language_used, CASE WHEN current IN ({_SERVED}) THEN round(compound, 4) END AS compound, contains(text, 'Chen') OR contains(text, 'Nair') AS has_person
+FROM lines JOIN told USING (session_id, seq) JOIN scored USING (session_id, seq)""")
 def analysed_lines(spark, sf_dir):
-    """All analytics of a line; the Spanish ones, where the language in charge depends on the session, are left out."""
+    """All analytics of every line, by the language in charge of its session."""
     from parlance.operators import analyse
 
-    out = analyse.analyse(src.timed(lines(spark, sf_dir)), analyse.Toggles(language=False))
-    out = out.where(~F.col("text").startswith("La fecha"))
+    out = analyse.analyse(src.timed(lines(spark, sf_dir)))
     person = F.exists("entities", lambda e: e["kind"] == "person")
     return out.select("session_id", "seq", F.col("current").alias("language_used"), "sentiment.compound", person.alias("has_person"))
