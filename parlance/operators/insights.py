@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from parlance.functions import text as T
 from parlance.operators.rules import STORED
+from parlance.operators.scratch import written
 
 ALIKE = 0.82
 STALE_DAYS = 7.0
@@ -49,6 +52,95 @@ def clusters(items: DataFrame, least: float = ALIKE) -> DataFrame:
     return items.groupBy("kind").applyInPandas(assign, schema)
 
 
+#: Texts of one side of a comparison that a task holds at a time, about.
+CHUNK = 2_000
+
+
+def _letters(texts: pd.Series) -> np.ndarray:
+    """How often each text has the characters of each of 64 classes."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for row, text in zip(out, texts, strict=True):
+        np.add.at(row, [ord(c) % 64 for c in text], 1)
+    return out
+
+
+def alike_pairs(texts: DataFrame, least: float = ALIKE, chunk: int = CHUNK) -> DataFrame:
+    """texts (kind, signature), distinct and not empty -> kind, a, b, a_leads, b_leads: the pairs that are alike with the
+    one or the other as the leader (the ratio is not symmetric).
+
+    Two texts can be alike only if the longer one has at most (2 - least) / least times the other's length, so they lie in
+    one band of lengths or in neighbouring ones, and only if they share enough letters; the ratio decides the rest. Bands
+    are cut into chunks, and a task compares two of them: no group is held whole, and only pairs that are alike leave a
+    task. The comparisons grow with the square of a band, the memory of a task does not.
+    """
+    width = math.log((2 - least) / least) * (1 + 1e-9)
+    sized = texts.select("kind", "signature").withColumn("band", F.floor(F.log(F.length("signature")) / width))
+    classes = sized.groupBy("kind", "band").agg(F.ceil(F.count("*") / chunk).alias("pieces"))
+    placed = sized.join(classes, ["kind", "band"]).withColumn("piece", F.pmod(F.xxhash64("signature"), F.col("pieces")))
+    works = classes.select("kind", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+    one, two = (works.select("kind", F.col("band").alias(f"band{i}"), F.col("piece").alias(f"piece{i}")) for i in (1, 2))
+    beside = one.withColumn("band2", F.explode(F.array("band1", F.col("band1") + 1))).join(two, ["kind", "band2"])
+    deal = written(beside.where("band1 < band2 or piece1 <= piece2"))
+    key = ["kind", "band1", "piece1", "band2", "piece2"]
+    sides = [deal.join(placed.select("kind", F.col("band").alias(f"band{i}"), F.col("piece").alias(f"piece{i}"), "signature"), ["kind", f"band{i}", f"piece{i}"]).select(*key, "signature", F.lit(i).alias("side")) for i in (1, 2)]
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        left, right, out = part[part["side"] == 1], part[part["side"] == 2], []
+        if len(left) and len(right):
+            x, y = left["signature"].tolist(), right["signature"].tolist()
+            own = tuple(left.iloc[0][["band1", "piece1"]]) == tuple(left.iloc[0][["band2", "piece2"]])
+            mine, theirs, sizes = _letters(left["signature"]), _letters(right["signature"]), np.array([len(t) for t in y])
+            for a, counts in zip(x, mine, strict=True):
+                shared = np.minimum(counts, theirs).sum(axis=1)
+                for j in np.nonzero(2 * shared >= least * (sizes + len(a)) - 1e-6)[0]:
+                    b = y[j]
+                    if a < b if own else True:
+                        ab, ba = alike(a, b, least), alike(b, a, least)
+                        if ab or ba:
+                            out.append((left["kind"].iat[0], a, b, ab, ba))
+        return pd.DataFrame(out, columns=["kind", "a", "b", "a_leads", "b_leads"])
+
+    return sides[0].unionByName(sides[1]).groupBy(*key).applyInPandas(compare, f"kind {dict(texts.dtypes)['kind']}, a string, b string, a_leads boolean, b_leads boolean")
+
+
+def leaders(items: DataFrame, least: float = ALIKE, chunk: int = CHUNK) -> DataFrame:
+    """clusters() of any number of items: place may be any type with an order. Each text goes by its first place.
+
+    Texts without an earlier one that is alike lead. In rounds, what a leader is alike with is no leader, and a text whose
+    earlier ones are all decided, and none a leader, leads; at the end each takes the first leader that is alike. There
+    are as many rounds as the longest such chain of texts has links.
+    """
+    texts = written(items.where("signature <> ''").groupBy("kind", "signature").agg(F.min("place").alias("place")))
+    pairs = alike_pairs(texts, least, chunk)
+    place = lambda c: texts.select("kind", F.col("signature").alias(c), F.col("place").alias(f"{c}_place"))
+    both = pairs.join(place("a"), ["kind", "a"]).join(place("b"), ["kind", "b"])
+    first = F.col("a_place") < F.col("b_place")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    links = written(both.where(pick("a_leads", "b_leads")).select("kind", pick("a", "b").alias("early"), pick("b", "a").alias("late"), pick("a_place", "b_place").alias("early_place")))
+    late = lambda df: df.select("kind", F.col("late").alias("signature")).distinct()
+    early = lambda df: df.select("kind", F.col("signature").alias("early"))
+    lead = written(texts.select("kind", "signature").join(late(links), ["kind", "signature"], "left_anti"))
+    every, left, new = lead, links.select("kind", "early", "late"), lead
+    while not left.isEmpty():
+        covered = written(late(left.join(early(new), ["kind", "early"], "left_semi")))
+        open_ = left.join(covered.select("kind", F.col("signature").alias("late")), ["kind", "late"], "left_anti")
+        rest = written(open_.join(early(covered), ["kind", "early"], "left_anti"))
+        new = written(late(open_).join(late(rest), ["kind", "signature"], "left_anti"))
+        every, left = every.unionByName(new), rest
+    chosen = links.join(early(every), ["kind", "early"], "left_semi").groupBy("kind", F.col("late").alias("signature")).agg(F.min("early_place").alias("_led"))
+    told = texts.join(every.withColumn("_leads", F.lit(True)), ["kind", "signature"], "left").join(chosen, ["kind", "signature"], "left")
+    told = told.select("kind", "signature", F.when(F.col("_leads"), F.col("place")).otherwise(F.col("_led")).alias("leader"))
+    return items.join(told, ["kind", "signature"], "left").withColumn("leader", F.coalesce("leader", "place"))
+
+
+def _everything(actions: DataFrame) -> DataFrame:
+    """_newest() without a limit; the place is the order itself, so that nothing is numbered in one task."""
+    down = lambda c: (F.col(c).isNull(), -F.col(c))
+    place: Column = F.struct(*down("session_started"), *down("priority"), "created_at", "id")
+    rows = actions.where(F.col("kind").isin(*STORED)).withColumn("place", place)
+    return rows.withColumn("signature", F.coalesce(T.signature(F.col("text")), F.lit("")))
+
+
 def _newest(actions: DataFrame, limit: int) -> DataFrame:
     """The report's rows: the first `limit` actions, newest session first, then most urgent, then oldest; of them
     those of a stored kind, numbered in that order."""
@@ -58,12 +150,13 @@ def _newest(actions: DataFrame, limit: int) -> DataFrame:
     return numbered.where(F.col("kind").isin(*STORED)).withColumn("signature", F.coalesce(T.signature(F.col("text")), F.lit("")))
 
 
-def open_items(actions: DataFrame, as_of: float, limit: int = 200, collapse: bool = True) -> DataFrame:
+def open_items(actions: DataFrame, as_of: float, limit: int | None = 200, collapse: bool = True) -> DataFrame:
     """Open commitments, most urgent and then oldest first: the newest wording, since when, how often, and whether
     it is stale. actions: id, session_id, session_name, session_started, kind, text,
-    priority, due, created_at, done."""
-    rows = _newest(actions.where(~F.col("done")), limit)
-    grouped = clusters(rows) if collapse else rows.withColumn("leader", F.col("place"))
+    priority, due, created_at, done. limit None takes all of them."""
+    told = actions.where(~F.col("done"))
+    rows = _everything(told) if limit is None else _newest(told, limit)
+    grouped = (leaders(rows) if limit is None else clusters(rows)) if collapse else rows.withColumn("leader", F.col("place"))
     first = lambda c: F.min_by(c, "place").alias(c)
     out = grouped.groupBy("kind", "leader").agg(
         *[first(c) for c in ("id", "text", "priority", "due", "session_id", "session_name")],
@@ -74,9 +167,10 @@ def open_items(actions: DataFrame, as_of: float, limit: int = 200, collapse: boo
     return out.orderBy(F.desc("priority"), F.desc("age_days"), "leader").drop("leader")
 
 
-def recurring_items(actions: DataFrame, least_sessions: int = 2, limit: int = 400) -> DataFrame:
-    """Commitments of the newest `limit` actions that come back in at least so many sessions."""
-    grouped = clusters(_newest(actions, limit).where("signature <> ''"))
+def recurring_items(actions: DataFrame, least_sessions: int = 2, limit: int | None = 400) -> DataFrame:
+    """Commitments of the newest `limit` actions, or of all, that come back in at least so many sessions."""
+    rows = (_everything(actions) if limit is None else _newest(actions, limit)).where("signature <> ''")
+    grouped = leaders(rows) if limit is None else clusters(rows)
     out = grouped.groupBy("kind", "leader").agg(
         F.min_by("text", "place").alias("text"), F.count("*").alias("occurrences"),
         F.array_sort(F.collect_set("session_name")).alias("sessions"), F.array_sort(F.collect_set("text")).alias("variants"),

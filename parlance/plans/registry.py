@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.operators.scratch import workspace  # noqa: F401  (the query modules take it from here)
 from parlance.sources import transcripts as src
 
 QUERIES: dict = {}
@@ -33,14 +30,3 @@ def query(sql: str | None = None):
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.templated(spark, sf_dir)
-
-
-def workspace(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share: in spark.checkpoint.dir, or for a local master that has
-    none a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="parlance-")
-    return f"{base}/queries/{uuid.uuid4().hex}"

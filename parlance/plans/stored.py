@@ -280,6 +280,17 @@ def indexed_search(spark, sf_dir):
     return hits.select("session_id", "seq", F.round("score", 6).alias("score"), "rank")
 
 
+@query()
+def open_commitments_whole(spark, sf_dir):
+    """Every open commitment, however many: the same one told twice is one row."""
+    return insights.open_items(_reported(spark, sf_dir), as_of=10 * 86_400.0, limit=None)
+
+
+@query()
+def recurring_commitments_whole(spark, sf_dir):
+    return insights.recurring_items(_reported(spark, sf_dir), limit=None)
+
+
 _LEXICON = ", ".join(f"'{code}'" for code in lexicons.VALENCES)
 _SERVED = ", ".join(f"'{code}'" for code in L.SUPPORTED)
 
