@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parlance import plugins
 from parlance.audio import segments, signal, speakers
 from parlance.operators import analyse, exports
+from parlance.operators.scratch import written
 from parlance.sources import recordings
 
 MANIFEST = "path string, status string, audio_seconds double, segments int, lines int, error string"
@@ -29,18 +30,18 @@ def session_of(path):
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest rows written so far; none where there is no file, and rows that cannot be read are left out."""
+    """A row for each path of the manifest, to which every run adds its rows: the newest one, but done stays done. None
+    where there is no file; rows that cannot be read are left out."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], MANIFEST)
-    return spark.read.schema(MANIFEST).option("mode", "DROPMALFORMED").json(path).where("path is not null and status is not null")
+    rows = spark.read.schema(MANIFEST).option("mode", "DROPMALFORMED").json(path).where("path is not null and status is not null")
+    return _newest(rows.select("*", F.col("_metadata.file_modification_time").alias("at")))
 
 
-def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row a path: the new one, but done stays done."""
-    both = old.withColumn("at", F.lit(0)).unionByName(new.withColumn("at", F.lit(1)))
+def _newest(rows: DataFrame) -> DataFrame:
     best = F.max_by(F.struct(*[f.split()[0] for f in MANIFEST.split(", ")]), F.struct((F.col("status") == "done").cast("int"), "at"))
-    return both.groupBy(F.col("path").alias("_p")).agg(best.alias("x")).select("x.*")
+    return rows.groupBy(F.col("path").alias("_p")).agg(best.alias("x")).select("x.*")
 
 
 def run(files: DataFrame, factory: Callable, gate: segments.Gate = segments.Gate(), toggles: analyse.Toggles = analyse.Toggles()) -> Job:  # noqa: B008
@@ -53,7 +54,8 @@ def run(files: DataFrame, factory: Callable, gate: segments.Gate = segments.Gate
     order = F.row_number().over(_in_order()).cast("int")
     voiced = voiced.withColumn("seq", order).withColumn("session_id", session_of(F.col("stream_id")))
     told = speakers.clusters(voiced.select("session_id", "seq", "embedding")).select("session_id", "seq", "speaker", F.col("confidence").alias("speaker_confidence"))
-    said = plugins.recognise(voiced.drop("embedding", "n", "peak_rms", "noise_floor", "is_final"), factory)
+    heard = plugins.recognise(voiced.drop("embedding", "n", "peak_rms", "noise_floor", "is_final"), factory)
+    said = written(heard.drop("samples"))  # lines and manifest both come from it, and a segment is recognised once
     said = said.join(told, ["session_id", "seq"], "left").withColumn("audio_seconds", F.col("ended_at") - F.col("started_at"))
     lines = analyse.analyse(said.where("error is null"), toggles)
     per_file = said.groupBy(F.col("stream_id").alias("path")).agg(F.count("*").cast("int").alias("segments"), F.count_if(F.col("error").isNull()).cast("int").alias("lines"), F.max("error").alias("spoken_error"))
@@ -76,10 +78,10 @@ def run_folder(spark: SparkSession, folder: str, output: str, factory: Callable,
     """The files of folder that are not done yet, their transcripts below output, and the manifest beside them, which is
     returned with the files passed over marked skipped."""
     files = recordings.discover(spark, folder).select("path", "content")
-    old = spark.createDataFrame(load_manifest(spark, f"{output}/manifest").collect(), MANIFEST)  # the file is overwritten below
+    old = written(load_manifest(spark, f"{output}/manifest"))
     job = run(recordings.pending(files, old), factory)
     exports.write(exports.blocks(job.lines, form), f"{output}/{form}")
-    now = spark.createDataFrame(job.manifest.collect(), MANIFEST)  # a row a file
-    merged(old, now).coalesce(1).write.mode("overwrite").json(f"{output}/manifest")
+    now = written(job.manifest)
+    now.write.mode("append").json(f"{output}/manifest")  # last: a file is done once its transcript is there
     passed = files.select("path").join(old.where("status = 'done'"), "path").withColumn("status", F.lit("skipped"))
     return now.unionByName(passed.select(*now.columns))
