@@ -89,9 +89,9 @@ def _line(column: str) -> Column:
 
 
 def write(found: DataFrame, path: str) -> None:
-    """blocks as text files, a folder for each session, in the order of n."""
+    """blocks as text files, a folder for each session, in the order of n; folders of other sessions stay."""
     ordered = found.repartition("session_id").sortWithinPartitions("session_id", "n")
-    ordered.select("session_id", _line("block")).write.mode("overwrite").partitionBy("session_id").text(path)
+    ordered.select("session_id", _line("block")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").text(path)
 
 
 def session_documents(sessions: DataFrame, lines: DataFrame, actions: DataFrame, entities: DataFrame) -> DataFrame:

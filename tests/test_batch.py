@@ -42,3 +42,4 @@ def test_one_recognition_a_segment_and_resume(spark, tmp_path):
     assert len(calls.read_text()) - before == second["bad.wav"].segments
     kept = batch.load_manifest(spark, f"{out}/manifest").collect()
     assert sorted((r.path.rsplit("/", 1)[-1], r.status) for r in kept) == [("a.wav", "done"), ("bad.wav", "done")]
+    assert len(list((tmp_path / "out" / "srt").glob("session_id=*"))) == 2  # the second run leaves the first one's
