@@ -297,22 +297,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     return prints.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_groups(seen: DataFrame, bits: int, together: int = 2) -> DataFrame:
-    """seen (view int, fp long, distinct) -> view, fp, root: equal in a view for fingerprints that a chain of links of
-    at most `bits` different bits joins; those that nothing is near to are left out. `together` views are joined
-    and thinned at a time, so that no step holds the edges of all."""
-    mark = lambda c: F.xxhash64("view", c)
-    n = seen.agg(F.coalesce(F.max("view"), F.lit(-1))).first()[0] + 1
-    edges = None
-    for i in range(0, max(n, 1), together):
-        part = near_edges(seen.where(F.col("view").between(i, i + together - 1)).withColumn("view", F.col("view") - i), bits)
-        part = materialise(part.select((F.col("view") + i).alias("view"), "a", "b").select(mark("a").alias("a"), mark("b").alias("b")))
-        part = materialise(thin(part))
-        edges = part if edges is None else edges.unionAll(part)
-    roots = components(edges)
-    return seen.withColumn("node", mark("fp")).join(roots, "node").select("view", "fp", "root")
-
-
 def first_rows(docs: DataFrame, prints: DataFrame, links: DataFrame) -> DataFrame:
     """The first row of each group of docs. prints (doc_id, th, node) has a row for each row of docs, th the hash of
     its text; links (a, b) join nodes. The row with the smallest doc_id stays (one without id only if its group has
