@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,13 @@ ENTITY_KINDS = ("person", "organization", "location", "contact", "link")
 DEFAULT_KINDS = ("email", "phone", "card", "iban", "ssn", "person")
 MODES = ("pseudonym", "hash", "mask", "label")
 
+#: What a text with a match of the kind holds, written for ASCII; other texts always count as likely.
+LIKELY = {
+    "email": "@", "url": "://", "phone": r"[0-9]{3}[\s\x1C-\x1F.-][0-9]{3}", "card": r"(?:[0-9][ -]?){13}", "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{10}",
+    "ip": r"[0-9]\.[0-9]", "postcode": r"[A-Z][0-9]", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "contact": "@", "link": "://",
+    "person": r"Mr|Mrs|Ms|Dr|Prof|[A-Z][a-z]{2,}[\s\x1C-\x1F]+[A-Z][a-z]{2}", "organization": r"[A-Z]", "location": r"[A-Z]",
+}
+
 SCHEMA = "array<struct<start:int,end:int,kind:string,value:string>>"
 _compiled = {k: re.compile(p) for k, p in PATTERNS.items()}
 
@@ -44,6 +52,14 @@ def spans(text: str | None, kinds: Sequence[str] = DEFAULT_KINDS) -> list[dict]:
     return out
 
 
+def likely(text: Column, kinds: Sequence[str] = DEFAULT_KINDS) -> Column:
+    """False only where spans() finds nothing, so that Python sees few texts. Never null."""
+    found = F.lit(False) if set(kinds) <= set(LIKELY) else F.lit(True)
+    for pattern in [r"[^\x00-\x7F]", *(LIKELY[k] for k in kinds if k in LIKELY)]:
+        found = found | text.rlike(pattern)
+    return F.coalesce(found, F.lit(False))
+
+
 def _splice(text: Column, pieces: Column) -> Column:
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda s, p: F.struct(F.concat(s["out"], F.substring(text, s["at"] + 1, p["start"] - s["at"]), p["alias"]).alias("out"), p["end"].alias("at"))
@@ -90,13 +106,14 @@ def redact(
 
 
 def redact_together(
-    tables: dict[str, tuple[DataFrame, Sequence[str], Sequence[str]]], kinds: Sequence[str] = DEFAULT_KINDS, scope: Sequence[str] = ("session_id",),
+    tables: dict[str, tuple[DataFrame, Sequence[str], Sequence[str]]], kinds: Sequence[str] = DEFAULT_KINDS, scope: Sequence[str] = ("session_id",), counted: bool = False,
 ) -> dict[str, DataFrame]:
     """Several tables under one set of pseudonyms: {name: (rows, columns to redact, columns that order its rows)} -> the
-    same tables with these columns redacted.
+    same tables with these columns redacted, and n_redacted if counted.
 
-    Values are numbered, by kind and scope, as they first come, tables and columns in the order given. Every column
-    is one pass over its texts; the pseudonyms are one table that all of them are joined with.
+    Values are numbered, by kind and scope, as they first come, tables and columns in the order given. Only texts
+    that may hold something go to Python; their pseudonyms are joined value by value, so that a scope may have any
+    number of them, and come back to the rows by scope and text.
     """
 
     @F.pandas_udf(SCHEMA)
@@ -104,27 +121,36 @@ def redact_together(
         return pd.Series([spans(t, kinds) for t in texts])
 
     key = lambda v: F.lower(F.trim(v))
-    each, marked = None, {}
+    to = [F.col(s).alias(f"_scope_{i}") for i, s in enumerate(scope)]
+    same = reduce(lambda x, y: x & y, [F.col(s).eqNullSafe(F.col(f"_scope_{i}")) for i, s in enumerate(scope)], F.lit(True))
+    each, parts = None, {}
     for t, (name, (rows, columns, order)) in enumerate(tables.items()):
-        marked[name] = rows.withColumns({f"_spans_{i}": match(F.col(c)) for i, c in enumerate(columns)})
-        for i in range(len(columns)):
+        for i, c in enumerate(columns):
             place = F.struct(F.lit(t).alias("t"), F.concat_ws("\x1f", *[F.lpad(F.col(o).cast("string"), 20, "0") for o in order]).alias("o"), F.lit(i).alias("i"))
-            part = marked[name].where(F.size(f"_spans_{i}") > 0).select(*scope, place.alias("place"), F.explode(f"_spans_{i}").alias("p"))
-            part = part.select(*scope, "p.kind", key(F.col("p.value")).alias("key"), F.struct("place", "p.start").alias("at"))
+            texts = rows.where(likely(F.col(c), kinds)).groupBy(*scope, F.col(c).alias("_text")).agg(F.min(place).alias("place"))
+            part = texts.select("*", F.explode(match("_text")).alias("p")).select(*scope, "_text", "place", "p.start", "p.end", "p.kind", key(F.col("p.value")).alias("key"))
+            parts[name, c] = part
+            part = part.select(*scope, "kind", "key", F.struct("place", "start").alias("at"))
             each = part if each is None else each.unionByName(part)
     first = each.groupBy(*scope, "kind", "key").agg(F.min("at").alias("first"))
     number = F.row_number().over(W.partitionBy(*scope, "kind").orderBy("first"))
     alias = F.concat(F.lit("["), F.upper("kind"), F.lit("_"), number.cast("string"), F.lit("]"))
-    # the pseudonyms of a scope travel as one map to its rows
-    names = first.select(*scope, F.concat_ws("\x1f", "kind", "key").alias("key"), alias.alias("alias"))
-    names = names.groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct("key", "alias"))).alias("_names"))
+    names = first.select(*to, F.col("kind").alias("_kind"), F.col("key").alias("_key"), alias.alias("alias"))
     out = {}
     for name, (rows, columns, _) in tables.items():
-        done = marked[name].join(names, list(scope), "left")
+        held = reduce(lambda x, y: x | y, [likely(F.col(c), kinds) for c in columns]) if columns else F.lit(False)
+        done, n = rows.where(held), F.lit(0)
+        for i, c in enumerate(columns):
+            part = parts[name, c]
+            named = part.join(names, same & (F.col("kind") == F.col("_kind")) & (F.col("key") == F.col("_key")))
+            named = named.select(*[f"_scope_{k}" for k in range(len(scope))], "_text", F.struct("start", "end", "alias").alias("piece"))
+            pieces = named.groupBy(*[f"_scope_{k}" for k in range(len(scope))], "_text").agg(F.array_sort(F.collect_list("piece")).alias(f"_pieces_{i}"))
+            done = done.join(pieces, same & (F.col(c) == F.col("_text")), "left").drop("_text", *[f"_scope_{k}" for k in range(len(scope))])
         for i, c in enumerate(columns):
-            pieces = F.transform(f"_spans_{i}", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.element_at("_names", F.concat_ws("\x1f", p["kind"], key(p["value"]))).alias("alias")))
-            done = done.withColumn(c, F.when(F.size(f"_spans_{i}") > 0, _splice(F.col(c), pieces)).otherwise(F.col(c)))
-        out[name] = done.select(*rows.columns)
+            n = n + F.when(F.col(f"_pieces_{i}").isNull(), 0).otherwise(F.size(f"_pieces_{i}"))
+        texts = {c: F.when(F.col(f"_pieces_{i}").isNotNull(), _splice(F.col(c), F.col(f"_pieces_{i}"))).otherwise(F.col(c)) for i, c in enumerate(columns)}
+        done = done.withColumns({"n_redacted": n, **texts}).select(*rows.columns, "n_redacted").unionByName(rows.where(~held).withColumn("n_redacted", F.lit(0)))
+        out[name] = done if counted else done.select(*rows.columns)
     return out
 
 
