@@ -60,6 +60,14 @@ def test_analysis_by_translation(spark):
     assert all(r.extractions == [] and r.entities == [] and r.sentiment is None and not r.topic_shift for r in off)
 
 
+def test_topic_shifts_cost_nothing_unless_asked_for(spark):
+    said = ["alpha beta gamma delta epsilon"] * 6 + ["kilo lima mike november oscar"] * 6
+    done = analyse.analyse(spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(said)], "session_id long, seq int, text string"))
+    assert [r.seq for r in done.where("topic_shift").orderBy("seq").collect()] == [9]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan(done) and "Join" not in plan(done.select("session_id", "seq", "current", "sentiment", "entities"))
+
+
 def wav(samples, width=2):
     raw = io.BytesIO()
     with wave.open(raw, "wb") as f:
