@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialise, shuffle_partitions, table
+from parlance.llm.common import materialise, shuffle_partitions, shuffles_deleted, table
 from parlance.llm.tokens import common_from, tally
 
 #: Words that every Python worker may hold, with count and class; rarer ones are joined by a shuffle.
@@ -247,18 +247,37 @@ def _table_of(texts: DataFrame, size: int, code) -> np.ndarray:
                 total[np.frombuffer(at.as_buffer(), "<i4")] += np.frombuffer(n.as_buffer(), "<i8")
         yield cells(total)
 
-    found = texts
-    for parts, step in ((0, count), (8, add), (1, add)):
-        found = (found.repartition(parts) if parts else found).mapInArrow(step, "at binary, n binary")
+    with shuffles_deleted(texts.sparkSession):
+        found = texts
+        for parts, step in ((0, count), (8, add), (1, add)):
+            found = (found.repartition(parts) if parts else found).mapInArrow(step, "at binary, n binary")
+        rows = found.collect()
     out = np.zeros(size * size)
-    for r in found.collect():
+    for r in rows:
         out[np.frombuffer(r.at, "<i4")] += np.frombuffer(r.n, "<i8")
     return out.reshape(size, size)
 
 
+def _short(values: np.ndarray) -> tuple[bytes, bytes]:
+    """A byte for each value, and the whole values of those that a byte can't hold."""
+    far = values >= 255
+    return np.where(far, 255, values).astype(np.uint8).tobytes(), values[far].astype("<i4").tobytes()
+
+
+def _long(short: pa.Scalar, far: pa.Scalar) -> np.ndarray:
+    """The values of _short()."""
+    values = np.frombuffer(short.as_buffer(), np.uint8).astype(np.int64)
+    values[values == 255] = np.frombuffer(far.as_buffer(), "<i4")
+    return values
+
+
+_NEIGHBOURS = "part int, steps binary, far binary, n binary, many binary"
+
+
 def _neighbours(texts: DataFrame, shared, core: int, k: int, parts: int) -> DataFrame:
-    """Counts of the classes next to the units outside the core, a row (part, keys, n) for each part of a task's find.
-    A key is unit * 2k + the class after, or unit * 2k + k + the class before. Units are dealt to parts in turn."""
+    """Counts of the classes next to the units outside the core, a row (_NEIGHBOURS) for each part of a task's find.
+    Units are dealt to parts in turn. A key is the unit's number within its part * 2k + the class after, or + k + the
+    class before; keys ascend and go as steps, which like most counts fit in a byte."""
 
     def run(batches):
         here = shared.value
@@ -270,16 +289,17 @@ def _neighbours(texts: DataFrame, shared, core: int, k: int, parts: int) -> Data
                 c = here[other[mine]].astype(np.int32)
                 keys.append((one[mine] * np.int32(2 * k) + np.int32(shift) + c)[c >= 0])
             keys, n = np.unique(np.concatenate(keys), return_counts=True)
-            part = keys // (2 * k) % parts
+            unit = keys // (2 * k)
+            part, keys = unit % parts, unit // parts * (2 * k) + keys % (2 * k)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
                 mine = order[cuts[p] : cuts[p + 1]]
                 if len(mine):
-                    cols = [pa.array([p], pa.int32()), pa.array([keys[mine].astype("<i4").tobytes()], pa.binary()), pa.array([n[mine].astype("<i4").tobytes()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, ["part", "keys", "n"])
+                    cols = [pa.array([x], pa.binary()) for x in (*_short(np.diff(keys[mine], prepend=0)), *_short(n[mine]))]
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *cols], ["part", "steps", "far", "n", "many"])
 
-    return texts.mapInArrow(run, "part int, keys binary, n binary").repartitionById(parts, F.col("part"))
+    return texts.mapInArrow(run, _NEIGHBOURS).repartitionById(parts, F.col("part"))
 
 
 def _chosen(neighbours: DataFrame, shared, between: np.ndarray, parts: int) -> pa.Table:
@@ -290,11 +310,10 @@ def _chosen(neighbours: DataFrame, shared, between: np.ndarray, parts: int) -> p
         here = shared.value
         tables: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, keys, n in zip(batch["part"].to_pylist(), batch["keys"], batch["n"], strict=True):
+            for part, steps, far, n, many in zip(batch["part"].to_pylist(), *(batch[c] for c in ("steps", "far", "n", "many")), strict=True):
                 if part not in tables:
                     tables[part] = np.zeros((len(here) // parts + 1) * 2 * k)
-                keys = np.frombuffer(keys.as_buffer(), "<i4").astype(np.int64)
-                np.add.at(tables[part], keys // (2 * k) // parts * (2 * k) + keys % (2 * k), np.frombuffer(n.as_buffer(), "<i4"))
+                tables[part][np.cumsum(_long(steps, far))] += _long(n, many)  # a key is once in a row
         for part, table in tables.items():
             table = table.reshape(-1, 2 * k)
             every = np.flatnonzero(table.any(1))
@@ -304,7 +323,8 @@ def _chosen(neighbours: DataFrame, shared, between: np.ndarray, parts: int) -> p
                 best = best_classes(table[row, k:], table[row, :k], here[unit].astype(np.int64), between)
                 yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), pa.array(best, pa.int32())], ["unit", "class"])
 
-    return neighbours.mapInArrow(choose, "unit int, class int").toArrow()  # at most COMMON + GROUPS rows
+    with shuffles_deleted(neighbours.sparkSession):
+        return neighbours.mapInArrow(choose, "unit int, class int").toArrow()  # at most COMMON + GROUPS rows
 
 
 def learn_classes(model: Model, texts: DataFrame, core: int = CORE, classes: int = CLASSES) -> np.ndarray:

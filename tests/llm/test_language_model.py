@@ -123,6 +123,29 @@ def test_best_classes_against_plain_loops():
         assert scores[got[u]] == pytest.approx(max(scores))
 
 
+def test_counts_of_neighbours_take_few_bytes(spark):
+    core, k, parts = 10, 4, 3
+    rng = np.random.default_rng(5)
+    texts = [[0, *(rng.zipf(1.3, 300) % 3_000 + 1).tolist(), 0] for _ in range(60)]
+    texts += [[0, *[11, 2_999] * 700, 0], [0, 0]]  # counts and steps beyond a byte
+    here = np.array([u % (k + 1) - 1 for u in range(3_001)], np.int16)
+    wanted: Counter = Counter()
+    for t in texts:
+        for a, b in zip(t, t[1:]):
+            wanted.update([(a, k + 0, int(here[b]))] if a >= core and here[b] >= 0 else [])
+            wanted.update([(b, 0, int(here[a]))] if b >= core and here[a] >= 0 else [])
+    frame = spark.createDataFrame([(np.array(t, "<i4").tobytes(),) for t in texts], "units binary").coalesce(1)
+    rows = language_model._neighbours(frame, spark.sparkContext.broadcast(here), core, k, parts).toArrow()
+    got: Counter = Counter()
+    for part, *blobs in zip(*(rows[c] for c in ("part", "steps", "far", "n", "many"))):
+        keys, n = np.cumsum(language_model._long(*blobs[:2])), language_model._long(*blobs[2:])
+        for key, times in zip(keys.tolist(), n.tolist()):
+            side = key % (2 * k) // k
+            got[key // (2 * k) * parts + part.as_py(), k * (1 - side), key % k] += times
+    assert got == wanted
+    assert sum(len(x.as_py()) for c in ("steps", "far", "n", "many") for x in rows[c]) < 3 * len(wanted)  # two whole numbers take 8
+
+
 def test_held_out_perplexity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = language_model.score_documents(docs, held_out()).where("held_out").collect()
