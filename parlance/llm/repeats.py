@@ -310,15 +310,17 @@ def earlier_copies(members: list[tuple[int, int, int, int, bytes]]) -> list[tupl
     if len(cut) < 2:
         return out
     # dict order is the members' order, and a string's place in `whole` tells which member it is of
-    starts, symbols, whole = [], [], b""
-    for _, piece in cut:
+    starts, owner, symbols, whole = [], [], [], b""
+    for i, (_, piece) in enumerate(cut):
         starts.append(len(whole))
+        owner += [i] * (len(piece) + 1)
+        symbols += [c + 2 for c in piece]
+        symbols.append(1)
         whole += piece + b"\0"
-        symbols += [c + 2 for c in piece] + [1]
     owners = list(cut.values())
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(whole))))
-    ends = np.append(starts[1:], len(whole)) - 1
-    order = [i for i in suffix_array([*symbols, 0]) if i < len(whole) and i + LENGTH <= ends[owner[i]]]
+    last = [end - 1 - LENGTH for end in [*starts[1:], len(whole)]]  # the last place of a string of LENGTH in each piece
+    symbols.append(0)
+    order = [i for i in suffix_array(symbols)[1:] if i <= last[owner[i]]]
     for _, same in groupby(order, key=lambda i: whole[i : i + LENGTH]):
         places = set()  # a text that repeats itself can show one place through two anchors
         for i in same:
@@ -337,8 +339,9 @@ def _compare(batches):
         passed = batch.filter(pa.array(kind == 0))
         if passed.num_rows:
             yield passed.select(_RUN)
-        for r in batch.filter(pa.array(kind != 0)).to_pylist():
-            groups.setdefault((r["kind"], r["part"]), []).append((r["oid"], r["h"], r["at"], r["end"], r["bytes"]))
+        found = batch.filter(pa.array(kind != 0))
+        for what, part, *member in zip(*(found[c].to_pylist() for c in ("kind", "part", "oid", "h", "at", "end", "bytes")), strict=True):
+            groups.setdefault((what, part), []).append(tuple(member))
     for (kind, _), members in groups.items():
         if len(members) < 2:
             continue

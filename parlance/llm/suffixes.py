@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Sequence
 
 
@@ -15,9 +16,9 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     its group, of the one before it and of those that this one's pointers lead to.
     """
     n = len(text)
-    by_symbol: dict[int, list[int]] = {}
+    by_symbol: dict[int, list[int]] = defaultdict(list)
     for i, c in enumerate(text):
-        by_symbol.setdefault(c, []).append(i)
+        by_symbol[c].append(i)
     members: list[set[int]] = []
     below: list[int] = []  # groups are a chain; new ones never stand above the one at hand
     above: list[int] = []
@@ -36,36 +37,43 @@ def suffix_array(text: Sequence[int]) -> list[int]:
         here = sorted(members[at])
         for s in here:
             done[s] = 1
-        count: dict[int, int] = {}
+        found = []
         for s in here:
             p = s - 1
             while p >= 0 and done[p]:
                 p = pointer[p]
             pointer[s] = p
             if p >= 0:
-                count[p] = count.get(p, 0) + 1
+                found.append(p)
         by_count: dict[int, list[int]] = {}
-        for p, k in count.items():
-            by_count.setdefault(k, []).append(p)
+        if len(set(found)) == len(found):
+            by_count[1] = found
+        else:
+            for p, k in Counter(found).items():
+                by_count.setdefault(k, []).append(p)
         # new groups stand right above their own, made from the lowest count up
         top: dict[int, int] = {}
         for k in sorted(by_count):
-            made: dict[int, int] = {}
+            leaving: dict[int, list[int]] = {}
             for p in by_count[k]:
                 g = group[p]
-                new = made.get(g)
-                if new is None:
-                    new = made[g] = len(members)
-                    last = top.get(g, g)
-                    members.append(set())
-                    below.append(last)
-                    above.append(above[last])
-                    below[above[last]] = new
-                    above[last] = new
-                members[g].discard(p)
-                members[new].add(p)
-                group[p] = new
-            top.update(made)
+                if g in leaving:
+                    leaving[g].append(p)
+                else:
+                    leaving[g] = [p]
+            for g, moved in leaving.items():
+                last = top.get(g, g)
+                if last == g and len(moved) == len(members[g]):
+                    continue  # the whole group: it stays
+                new = top[g] = len(members)
+                members[g].difference_update(moved)
+                members.append(set(moved))
+                below.append(last)
+                above.append(above[last])
+                below[above[last]] = new
+                above[last] = new
+                for p in moved:
+                    group[p] = new
         at = below[at]
     return _emit(n, members, order, group, pointer)
 
